@@ -52,21 +52,32 @@ class Bloom:
         if 8 * n_words > MOST_BYTES:
             raise ValueError(f"{n} keys need {8 * n_words} bytes; the bound is {MOST_BYTES}")
         spots = keys.select(F.explode(F.array(*cls.positions(F.col("key"), n_words, hashes, salt))).alias("bit"))
-        rows = spots.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).collect()  # as many as the filter has words
+        mask = F.get(_masks(), (F.col("bit") % 64).cast("int"))
+        rows = spots.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(mask).alias("bits")).collect()  # as many as the filter has words
         held = [0] * n_words
         for r in rows:
             held[r.word] = r.bits
         return cls(tuple(held), hashes, salt)
 
     def admits(self, key: Column) -> Column:
-        held = F.lit(list(self.words)).cast("array<bigint>")
+        held = _longs(self.words)
         out = F.lit(True)
         for bit in self.positions(key, len(self.words), self.hashes, self.salt):
             word = F.get(held, F.floor(bit / 64).cast("int"))
-            out = out & (F.shiftright(word, (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+            out = out & (word.bitwiseAND(F.get(_masks(), (bit % 64).cast("int"))) != 0)
         return out
 
 
+def _masks() -> Column:
+    """1, 2, 4, ... as signed 64-bit numbers."""
+    return _longs(tuple(1 << i if i < 63 else -(1 << 63) for i in range(64)))
+
+
+def _longs(values: tuple[int, ...]) -> Column:
+    """An array constant, folded once from one string instead of a literal for each value."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _mixed(a: Column, b: Column, k: int) -> Column:
     """The k-th position from two hashes; mixed, as sums would overflow under ANSI rules."""
     return a if k == 0 else F.xxhash64(a, F.lit(k), b)
