@@ -15,6 +15,13 @@ from quillet.session import cut
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
 
+_BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
+_BACK = pow(_BASE, -1, 1 << 64)
+_BYTE = np.random.default_rng(7).integers(1, 1 << 64, 256, dtype=np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_POWERS: dict[int, np.ndarray] = {}
+
 
 def pick(df: DataFrame, *columns: str) -> DataFrame:
     """The columns an operator works on, so that no other column's name can clash with its own."""
@@ -69,12 +76,6 @@ def components(edges: DataFrame) -> DataFrame:
     return held.join(names, "to").select("node", "component")
 
 
-_BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
-_BACK = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(7).integers(1, 1 << 64, 256, dtype=np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -101,17 +102,25 @@ def words(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(np.cumsum([len(x) + 1 for x in own]), start, side="right")
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of the bytes, where it starts and where it ends."""
+def word_spans(data: np.ndarray, parts: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """A 64-bit hash of each word of the bytes, where it starts and where it ends; words lie between bytes of ``parts``.
+
+    For each length in ``prefixes``, the hash of the word's first bytes too (0 where it is no longer than that)."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    space = _SPACE[data]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64) for _ in prefixes]
+    space = parts[data]
     edge = np.diff(np.concatenate([[True], space, [True]]).view(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     values = _BYTE[data]
     values *= powers(_BASE, len(data))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
-    return mixed((sums[end] - sums[start]) * powers(_BACK, len(data))[start]), start, end
+    back = powers(_BACK, len(data))[start]
+    heads = []
+    for n in prefixes:
+        long = end - start > n
+        head = mixed((sums[np.where(long, start + n, start)] - sums[start]) * back + np.uint64(n))
+        heads.append(np.where(long, head, np.uint64(0)))
+    return mixed((sums[end] - sums[start]) * back), start, end, *heads
 
 
 def kinds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillet.llm import mixing, packing, quality, urls
+from quillet.llm import forest, mixing, packing, quality, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 #: The public vocabulary of the packed ids.
 PACKING_VOCABULARY = "word_bpe_49k.json"
+#: The public vocabulary of the word pieces that are counted.
+TOKEN_VOCABULARY = "byte_bpe_50k.json"
 
 
 def vocabulary(name: str) -> str:
@@ -98,3 +100,19 @@ from g
 @_query("op8_quality", _QUALITY_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@_query("op7_tokens")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary(TOKEN_VOCABULARY))
+
+
+@_query("op10_embeddings")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
