@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from quillet.session import cut
 
 #: Words are maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -33,8 +34,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.fromiter((len(x) if x is not None else 0 for x in batch.column(column).cast(pa.large_binary()).to_pylist()), np.int64, batch.num_rows)
-        ends = np.cumsum(sizes)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_binary())), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False))
         start, base = 0, 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))

@@ -115,7 +115,7 @@ class Counter:
 
     _held: dict[str, Counter] = {}
 
-    def __init__(self, path: str, most_known: int = 2_000_000, long_word: int = 64) -> None:
+    def __init__(self, path: str, most_known: int = 500_000, long_word: int = 64) -> None:
         self.automaton = Automaton(vocabulary(path))
         self.known: dict[int, int] = {}
         self.most_known, self.long_word = most_known, long_word

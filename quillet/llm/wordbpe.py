@@ -8,6 +8,7 @@ class libraries could see differently, and texts with the vocabulary's special s
 from __future__ import annotations
 
 import json
+from functools import cached_property
 
 import numpy as np
 import regex
@@ -31,9 +32,8 @@ class WordBpe:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path) as f:  # a vocabulary file that the worker's Python installation brings
             data = json.load(f)
         letters, ranks = _letters(), {}
@@ -49,9 +49,15 @@ class WordBpe:
 
         self.ends = np.zeros(max(ranks.values()) + 1, bool)
         self.ends[[i for t, i in ranks.items() if len(t) > 1 and t.endswith(self.END.encode())]] = True
-        self.most_known = 1_200_000
+        self.most_known = 300_000
         self.forget()
 
+    @cached_property
+    def library(self):  # noqa: ANN201
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @classmethod
     def of(cls, path: str) -> WordBpe:
         if path not in _HELD:
