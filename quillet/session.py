@@ -19,9 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the shared folder, which outlives any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Computed once and kept in the shared folder, which outlives any executor.
+
+    A checkpoint carries the estimated size of the plan that it cuts, which multiplies with every join of an iteration
+    until planning itself takes minutes. The rows are named afresh, so sizes are those seen at run time."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    held = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
