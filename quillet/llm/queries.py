@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillet.llm import forest, minhash, mixing, packing, quality, tokens, toxicity, urls
+from quillet.llm import forest, lines, minhash, mixing, packing, quality, substrings, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,6 +52,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query("op4_lines")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 _URL_SQL = """
 with cut as (
   select page_id, case when contains(url, '://') then regexp_replace(substr(url, strpos(url, '://') + 3), '[?#].*$', '', 's') else '' end as rest from pages
@@ -121,3 +126,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_embeddings")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op9_substrings")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents")).drop("kept")
