@@ -23,8 +23,8 @@ LARGE = 48
 
 
 def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], farthest: float) -> DataFrame:
-    """(node, component) over members (item, bands) that have a link. ``verify`` adds the distance d to pairs (a, b)."""
-    spots = members.select("item", F.posexplode("bands").alias("band", "key")).select("item", F.xxhash64("band", "key").alias("bucket"))
+    """(node, component) over members (item, bands) that have a link; a band is a number that names it and its content. ``verify`` adds the distance d to pairs (a, b)."""
+    spots = members.select("item", F.explode(F.array_distinct("bands")).alias("bucket"))
     shared = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("lead")).where("n > 1").drop("n")
     held = cut(spots.join(shared, "bucket"))
     first = cut(verify(held.where("item <> lead").select(F.col("lead").alias("a"), F.col("item").alias("b")).distinct()))
@@ -71,4 +71,4 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], farthe
 
 def _second_bands(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Large buckets cut up: members meet again where another band agrees too."""
-    return rows.join(members, "item").select("item", "d1", "d2", "class", "bucket", F.posexplode("bands").alias("band", "key")).where(F.xxhash64("band", "key") != F.col("bucket")).withColumn("bucket", F.xxhash64("bucket", "band", "key"))
+    return rows.join(members, "item").select("item", "d1", "d2", "class", "bucket", F.explode(F.array_distinct("bands")).alias("band")).where("band <> bucket").withColumn("bucket", F.xxhash64("bucket", "band"))

@@ -108,7 +108,7 @@ def darts(key: np.ndarray, owner: np.ndarray, weight: np.ndarray, n_docs: int, k
 def banded(signatures: np.ndarray, rows: int) -> np.ndarray:
     """A hash for each band of ``rows`` coordinates."""
     n, k = signatures.shape
-    out = np.zeros((n, k // rows), np.uint64)
+    out = np.tile(np.arange(k // rows, dtype=np.uint64), (n, 1))
     for j in range(rows):
         out = mixed(out * _ODD ^ signatures[:, j::rows])
     return out

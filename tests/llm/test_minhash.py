@@ -110,7 +110,7 @@ def test_classes_compare_all_that_differ(spark, monkeypatch, large):
     monkeypatch.setattr(links, "LARGE", large)
     points = [(i, float(x)) for i, x in enumerate([0, 0.9, 1.8, 2.7, 5, 5.5, 9, 9.9, 20, 20.5, 21])]
     spots = spark.createDataFrame(points, "item long, x double")
-    members = spots.select("item", F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<long>").alias("bands"))
+    members = spots.select("item", F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(3)).cast("array<long>").alias("bands"))
 
     def verify(pairs):
         a, b = spots.select(F.col("item").alias("a"), F.col("x").alias("xa")), spots.select(F.col("item").alias("b"), F.col("x").alias("xb"))
