@@ -25,7 +25,7 @@ from quillet.llm.common import pick, slices, texts, word_spans
 
 FOLDS = 5
 #: Labelled rows, terms and voters that a fit uses at most.
-SAMPLE_ROWS, MOST_TERMS, LEXICONS = 12_000, 600, 8
+SAMPLE_ROWS, MOST_TERMS, LEXICONS = 6_000, 400, 8
 #: How far a term's likelihood ratio must be from chance (chi-squared with one degree of freedom).
 SURE = 24.0
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -160,9 +160,7 @@ def train(own: list[bytes], toxic: np.ndarray) -> Model:
     share = float((toxic.sum() + 0.5) / (len(toxic) + 1))
     if not len(toxic) or toxic.min() == toxic.max():
         return Model(np.zeros(0, np.uint64), np.zeros(2), float(np.log(share / (1 - share))))
-    parts = [terms(own[i : i + 1000]) for i in range(0, len(own), 1000)]
-    hashes = np.concatenate([h for h, _ in parts])
-    owner = np.concatenate([o + 1000 * i for i, (_, o) in enumerate(parts)])
+    hashes, owner = _promising(own, toxic)
     chosen, odds = _chosen(hashes, owner, toxic)
     lookup = Lookup(chosen)
     counts = lookup.counts(hashes, owner, len(own))
@@ -178,8 +176,37 @@ def train(own: list[bytes], toxic: np.ndarray) -> Model:
     return Model(lookup.known, weights, bias)
 
 
+def _ratio(in_toxic: np.ndarray, in_all: np.ndarray, t: float, n: int) -> np.ndarray:
+    """Twice the log likelihood ratio against chance, 0 where the odds aren't clearly up; the bar is high as very many terms are tried."""
+    rate, base = (in_toxic + 0.5) / (in_all + 1), (t + 0.5) / (n + 1)
+    cells = ((in_toxic, in_all * t / n), (in_all - in_toxic, in_all * (n - t) / n), (t - in_toxic, (n - in_all) * t / n), (n - in_all - t + in_toxic, (n - in_all) * (n - t) / n))
+    ratio = 2 * sum(np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(chance, 1e-9)), 0) for seen, chance in cells)
+    return np.where((np.log(rate / (1 - rate)) - np.log(base / (1 - base)) > 1) & (ratio > SURE), ratio, 0)
+
+
+def _promising(own: list[bytes], toxic: np.ndarray, chunk: int = 200, slots: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and owners, of the terms only whose hash slots stand out: what is held at once stays small."""
+    in_all, in_toxic = np.zeros(slots), np.zeros(slots)
+    for i in range(0, len(own), chunk):
+        h, o = terms(own[i : i + chunk])
+        slot = (h & np.uint64(slots - 1)).astype(np.int64)
+        pair = np.unique(slot * chunk + o)
+        in_all += np.bincount(pair // chunk, minlength=slots)
+        in_toxic += np.bincount(pair // chunk, weights=toxic[i + pair % chunk], minlength=slots)
+    stands_out = _ratio(in_toxic, in_all, toxic.sum(), len(toxic)) > 0
+    hashes, owner = [], []
+    for i in range(0, len(own), chunk):
+        h, o = terms(own[i : i + chunk])
+        mine = stands_out[(h & np.uint64(slots - 1)).astype(np.int64)]
+        hashes.append(h[mine])
+        owner.append(o[mine] + i)
+    return np.concatenate(hashes), np.concatenate(owner)
+
+
 def _chosen(hashes: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms whose documents are toxic far more often than chance, the strongest first, with their log odds."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64), np.zeros(0)
     order = np.lexsort((owner, hashes))
     h, o = hashes[order], owner[order]
     once = np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])
@@ -190,10 +217,7 @@ def _chosen(hashes: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> tuple[n
     n, t = len(toxic), toxic.sum()
     rate, base = (in_toxic + 0.5) / (in_all + 1), (t + 0.5) / (n + 1)
     odds = np.log(rate / (1 - rate)) - np.log(base / (1 - base))
-    # twice the log likelihood ratio against chance; the bar is high as very many terms are tried
-    cells = ((in_toxic, in_all * t / n), (in_all - in_toxic, in_all * (n - t) / n), (t - in_toxic, (n - in_all) * t / n), (n - in_all - t + in_toxic, (n - in_all) * (n - t) / n))
-    ratio = 2 * sum(np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(chance, 1e-9)), 0) for seen, chance in cells)
-    strength = np.where((odds > 1) & (ratio > SURE), ratio, 0)
+    strength = _ratio(in_toxic, in_all, t, n)
     best = np.argsort(-strength, kind="stable")[:MOST_TERMS]
     best = best[strength[best] > 0]
     return h[first[best]], odds[best]
@@ -230,8 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     n = told.count()
     if n > sample_rows:
         told = told.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int(sample_rows / n * (1 << 30)))
-    drawn = pick(docs, "doc_id", "text").join(told, "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
-    return train([(t or "").encode() for t in drawn["text"]], drawn["toxic"].to_numpy())
+    drawn = pick(docs, "doc_id", "text").join(told, "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by("doc_id").combine_chunks()
+    return train(texts(drawn), np.array(drawn.column("toxic").to_pylist()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
