@@ -189,3 +189,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, groups: int
     order = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = rows.select("*", order.alias("place")).join(counted.drop("n"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("ahead") + F.col("place")).alias("rank"))
     return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
