@@ -14,6 +14,7 @@ don't count against each other; a null doc_id comes before all others.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,36 +69,71 @@ def _buckets(total: int, spark) -> int:  # noqa: ANN001
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1)
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """(h1, h2, spans): for texts, by their two hashes, the spans [start, end) to remove; ``docs`` has distinct texts
-    with doc (a number that orders them)."""
+def _pack(docs: np.ndarray, grams: np.ndarray, at: np.ndarray) -> bytes:
+    """Occurrences in few bytes: they are sorted by document, so what repeats or grows slowly deflates well."""
+    known, index = np.unique(docs, return_inverse=True)
+    planes = at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    steps = np.diff(index, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    rest = zlib.compress(np.diff(known, prepend=0).astype("<i8").tobytes() + steps + planes, 1)
+    return np.array([len(known), len(at)], "<u4").tobytes() + grams.astype("<u4").tobytes() + rest
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n_docs, n = np.frombuffer(raw, "<u4", 2).tolist()
+    grams = np.frombuffer(raw, "<u4", n, 8)
+    rest = zlib.decompress(raw[8 + 4 * n :])
+    known = np.cumsum(np.frombuffer(rest, "<i8", n_docs))
+    whole = lambda k: np.frombuffer(rest, np.uint8, 4 * n, 8 * n_docs + 4 * n * k).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
+    return known[np.cumsum(whole(0))], grams, whole(1)
+
+
+def _deflated(docs: DataFrame) -> DataFrame:
+    """doc and its text deflated, as whole texts are about to be shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([zlib.compress(t, 6) for t in texts(b)], pa.binary())], names=["doc", "deflated"])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc long, deflated binary")
+
+
+def covered(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc, spans): the spans [start, end) to remove from texts whose doc isn't in ``copies``; docs are ordered by number."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = _buckets(total, spark)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            for doc, text in zip(b.column("doc").to_pylist(), texts(b), strict=True):
-                at, h = anchors(text)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(n)).astype(np.int64)), pa.array(h.view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at)], names=["bucket", "anchor", "doc", "pos"])
+            found = [(doc, *anchors(text)) for doc, text in sorted(zip(b.column("doc").to_pylist(), texts(b), strict=True))]
+            found = [f for f in found if len(f[1])]
+            if not found:
+                continue
+            of = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
+            at, h = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+            bucket = (h % np.uint64(n)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, of, at, h = bucket[order], of[order], at[order], (h >> np.uint64(32))[order]
+            edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
+            packed = [_pack(of[i:j], h[i:j], at[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
     def several(f: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((f["doc"].to_numpy(), f["anchor"].to_numpy()))
-        f = f.iloc[order]
-        a, d = f["anchor"].to_numpy(), f["doc"].to_numpy()
+        parts = [_unpack(x) for x in f["packed"]]
+        d, a, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((d, a))
+        d, a, at = d[order], a[order], at[order]
         first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         size = np.diff(np.append(first, len(a)))
-        shared = d[first] != d[first + size - 1]
-        return f.loc[np.repeat(shared, size), ["bucket", "anchor", "doc", "pos"]]
+        keep = np.repeat(d[first] != d[first + size - 1], size)
+        return pd.DataFrame({"bucket": f["bucket"].iloc[0], "anchor": a[keep].astype(np.int64), "doc": d[keep], "pos": at[keep]})
 
-    schema = "bucket long, anchor long, doc long, pos long"
-    spots = docs.select("doc", "text").mapInArrow(find, schema).groupBy("bucket").applyInPandas(several, schema)
-    places = cut(spots.groupBy("doc").agg(F.collect_list(F.struct("bucket", "anchor", "pos")).alias("places")))
+    spots = docs.select("doc", "text").mapInArrow(find, "bucket long, packed binary").groupBy("bucket").applyInPandas(several, "bucket long, anchor long, doc long, pos long")
+    places = spots.groupBy("doc").agg(F.collect_list(F.struct("bucket", "anchor", "pos")).alias("places")).join(copies, "doc", "left_anti")
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            for doc, text, own in zip(b.column("doc").to_pylist(), texts(b), b.column("places"), strict=True):
+        for b in slices(batches, "deflated"):
+            for doc, text, own in zip(b.column("doc").to_pylist(), map(zlib.decompress, texts(b, "deflated")), b.column("places"), strict=True):
                 held = own.values
                 pos = held.field("pos").to_numpy(zero_copy_only=False)
                 padded = np.frombuffer(b"\0" * REACH + text + b"\0" * LENGTH, np.uint8)
@@ -106,7 +142,7 @@ def covered(docs: DataFrame) -> DataFrame:
                 before, after = np.minimum(pos, REACH), np.minimum(len(text) - pos, LENGTH)
                 yield pa.RecordBatch.from_arrays([held.field("bucket"), held.field("anchor"), pa.array(np.full(len(pos), doc)), pa.array(pos), pa.array(before), pa.array(after), raw], names=["bucket", "anchor", "doc", "pos", "before", "after", "context"])
 
-    around = places.join(docs.select("doc", "text"), "doc").select("doc", "text", "places").mapInArrow(context, "bucket long, anchor long, doc long, pos long, before long, after long, context binary")
+    around = places.join(_deflated(docs), "doc").select("doc", "deflated", "places").mapInArrow(context, "bucket long, anchor long, doc long, pos long, before long, after long, context binary")
     spans = around.groupBy("bucket").applyInPandas(earlier, "doc long, start long, end long")
     return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -155,16 +191,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), text.alias("text"), F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(text, F.lit(2)).alias("h2"))
-    firsts = rows.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
-    rows = rows.join(firsts, ["h1", "h2"])
-    own = rows.where("doc = first").select("doc", "text")
-    spans = cut(covered(own))
-    joined = rows.select("doc_id", "doc", "first", "text").join(spans, "doc", "left").select("doc_id", "text", (F.col("doc") > F.col("first")).alias("copy"), "spans")
+    names = rows.select("doc", "h1", "h2")
+    copies = cut(names.join(names.groupBy("h1", "h2").agg(F.min("doc").alias("first")), ["h1", "h2"]).where("doc > first").select("doc").distinct())
+    docs_ = rows.select("doc", "text")
+    spans = cut(covered(docs_, copies))
+    fates = spans.select("doc", "spans", F.lit(False).alias("copy")).union(copies.select("doc", F.lit(None).cast(spans.schema["spans"].dataType), F.lit(True)))
+    # a null doc_id is the number _FIRST and goes back to null
+    joined = _deflated(docs_).join(fates, "doc", "left").select(F.when(F.col("doc") != _FIRST, F.col("doc")).alias("doc_id"), "deflated", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, "deflated"):
             out = []
-            for doc_id, own, copy, held in zip(b.column("doc_id").to_pylist(), texts(b), b.column("copy").to_pylist(), b.column("spans"), strict=True):
+            for doc_id, own, copy, held in zip(b.column("doc_id").to_pylist(), map(zlib.decompress, texts(b, "deflated")), b.column("copy").to_pylist(), b.column("spans"), strict=True):
                 if copy:
                     cover = np.array([[0, len(own)]] if len(own) >= LENGTH else np.zeros((0, 2)), np.int64).reshape(-1, 2)
                 elif held.is_valid:
