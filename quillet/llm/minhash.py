@@ -165,11 +165,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     items = cut(items.withColumn("item", F.monotonically_increasing_id()))
     members = items.where("bands is not null").select("item", "bands")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    texts_of: list[DataFrame] = []
+
+    def held_texts(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct().join(items.select("item", "h1", "h2", "rep"), "item")
         source = _copies(docs)
         held = source.join(needed, (source["h1"] == needed["h1"]) & (source["h2"] == needed["h2"]) & source["doc_id"].eqNullSafe(needed["rep"])).select("item", "text")
-        held = cut(held.dropDuplicates(["item"]))
+        return cut(held.dropDuplicates(["item"]))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        if not texts_of:  # the first pairs hold every item that shares a bucket, and so every item of later ones
+            texts_of.append(held_texts(pairs))
+        held = texts_of[0]
         both = pairs.join(held.select(F.col("item").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("item").alias("b"), F.col("text").alias("tb")), "b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
