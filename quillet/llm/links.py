@@ -71,4 +71,6 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], farthe
 
 def _second_bands(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Large buckets cut up: members meet again where another band agrees too."""
-    return rows.join(members, "item").select("item", "d1", "d2", "class", "bucket", F.explode(F.array_distinct("bands")).alias("band")).where("band <> bucket").withColumn("bucket", F.xxhash64("bucket", "band"))
+    apart = rows.join(members, "item").select("item", "d1", "d2", "class", "bucket", F.explode(F.array_distinct("bands")).alias("band")).where("band <> bucket")
+    both = apart.withColumn("bucket", F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band")))  # two large bands cut each other up alike
+    return both.dropDuplicates(["bucket", "item"])
