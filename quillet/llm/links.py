@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillet.llm.common import components
-from quillet.session import cut
+from quillet.session import cut, release
 
 #: Buckets of more members are cut up by second bands before members are compared directly.
 LARGE = 48
@@ -34,6 +34,7 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], farthe
     def open_buckets(rows: DataFrame, found: DataFrame) -> DataFrame:
         """Members of the buckets that still hold several components."""
         named = rows.drop("class").join(found, rows["item"] == found["node"], "left").select(rows["bucket"], rows["item"], *[rows[c] for c in rows.columns if c in ("lead", "d1", "d2", "next")], F.coalesce("component", rows["item"]).alias("class"))
+        release(rows.sparkSession)
         several = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
         return cut(named.join(several, "bucket"))
 
