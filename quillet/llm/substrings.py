@@ -133,30 +133,41 @@ def covered(docs: DataFrame, copies: DataFrame) -> DataFrame:
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "deflated"):
-            for doc, text, own in zip(b.column("doc").to_pylist(), map(zlib.decompress, texts(b, "deflated")), b.column("places"), strict=True):
-                held = own.values
-                pos = held.field("pos").to_numpy(zero_copy_only=False)
+            held = [(doc, text, own.values) for doc, text, own in zip(b.column("doc").to_pylist(), map(zlib.decompress, texts(b, "deflated")), b.column("places"), strict=True)]
+            if not held:
+                continue
+            get = lambda name: np.concatenate([p.field(name).to_numpy(zero_copy_only=False) for *_, p in held])  # noqa: B023, E731
+            sizes = [len(p) for *_, p in held]
+            bucket, pos = get("bucket"), get("pos")
+            length = np.repeat([len(text) for _, text, _ in held], sizes)
+            numbers = np.stack([get("anchor"), np.repeat(np.array([doc for doc, *_ in held], np.int64), sizes), pos, np.minimum(pos, REACH), np.minimum(length - pos, LENGTH)]).astype("<i8")
+            views = []
+            for _, text, p in held:
                 padded = np.frombuffer(b"\0" * REACH + text + b"\0" * LENGTH, np.uint8)
-                view = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[pos]
-                raw = pa.Array.from_buffers(pa.binary(CONTEXT), len(pos), [None, pa.py_buffer(np.ascontiguousarray(view))]).cast(pa.binary())
-                before, after = np.minimum(pos, REACH), np.minimum(len(text) - pos, LENGTH)
-                yield pa.RecordBatch.from_arrays([held.field("bucket"), held.field("anchor"), pa.array(np.full(len(pos), doc)), pa.array(pos), pa.array(before), pa.array(after), raw], names=["bucket", "anchor", "doc", "pos", "before", "after", "context"])
+                views.append(np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[p.field("pos").to_numpy(zero_copy_only=False)])
+            view = np.concatenate(views)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)).tolist()
+            packed = [zlib.compress(numbers[:, order[i:j]].tobytes() + view[order[i:j]].tobytes(), 1) for i, j in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[edges[:-1]]]), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
-    around = places.join(_deflated(docs), "doc").select("doc", "deflated", "places").mapInArrow(context, "bucket long, anchor long, doc long, pos long, before long, after long, context binary")
+    around = places.join(_deflated(docs), "doc").select("doc", "deflated", "places").mapInArrow(context, "bucket long, packed binary")
     spans = around.groupBy("bucket").applyInPandas(earlier, "doc long, start long, end long")
     return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def earlier(f: pd.DataFrame) -> pd.DataFrame:
     """For each occurrence of a shared anchor, the span of its strings that an earlier document holds too."""
-    doc, pos = f["doc"].to_numpy(np.int64), f["pos"].to_numpy(np.int64)
-    before, after = f["before"].to_numpy(np.int64), f["after"].to_numpy(np.int64)
-    bytes_ = np.frombuffer(b"".join(f["context"]), np.uint8).reshape(len(f), CONTEXT)
-    anchor = f["anchor"].to_numpy(np.int64).view(np.uint64)
+    raw = [zlib.decompress(x) for x in f["packed"]]
+    each = [len(x) // (40 + CONTEXT) for x in raw]
+    anchor, doc, pos, before, after = np.concatenate([np.frombuffer(x, "<i8", 5 * n).reshape(5, n) for x, n in zip(raw, each, strict=True)], axis=1)
+    bytes_ = np.concatenate([np.frombuffer(x, np.uint8, -1, 40 * n).reshape(n, CONTEXT) for x, n in zip(raw, each, strict=True)])
+    anchor = np.ascontiguousarray(anchor).view(np.uint64)
+    n = len(doc)
     values = mixed(bytes_.astype(np.uint64) + np.uint64(1)) * powers(_B, CONTEXT)[None, :]
-    sums = np.concatenate([np.zeros((len(f), 1), np.uint64), np.cumsum(values, axis=1, dtype=np.uint64)], axis=1)
+    sums = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(values, axis=1, dtype=np.uint64)], axis=1)
     back = powers(pow(_B, -1, 1 << 64), CONTEXT)
-    start, end = np.full(len(f), -1, np.int64), np.full(len(f), -1, np.int64)
+    start, end = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     for a in range(REACH + 1):  # strings that start ``a`` bytes before the anchor
         at = REACH - a
         real = np.flatnonzero((before >= a) & (after >= LENGTH - a))
