@@ -3,9 +3,10 @@
 Distances must form a metric. Every bucket first compares its members with one leader. Members whose components then
 differ are compared with a second leader, the one nearest to the first, which tends to be the middle of a group. What
 still differs is compared directly, if the triangle inequality by the two leaders allows a link; there the largest
-component of a bucket isn't compared within itself, and a large bucket is first cut up by a second band, as a pair
-that shares one band and is similar shares others. So every pair of a bucket is compared, or in one component already,
-or too far apart by the inequality (or, in large buckets, shares no second band).
+component of a bucket isn't compared within itself. Members of large buckets meet by their rarest tokens instead, where
+the caller has sets whose Jaccard distance is the one in question: two sets that are near enough share one of the few
+first tokens in any order that holds for all, so none is lost. So every pair of a bucket is compared, or in one
+component already, or too far apart by the inequality or by the tokens.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 from quillet.llm.common import components
 from quillet.session import cut, release
 
-#: Buckets of more members are cut up by second bands before members are compared directly.
+#: In buckets of more members those are compared directly that share a rare token, if there are sets of tokens.
 LARGE = 48
 
 
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], farthest: float) -> DataFrame:
-    """(node, component) over members (item, bands) that have a link; a band is a number that names it and its content. ``verify`` adds the distance d to pairs (a, b)."""
+def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], farthest: float, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, component) over members (item, bands) that have a link; a band is a number that names it and its content. ``verify`` adds the distance d to pairs (a, b).
+
+    ``sets`` adds tokens, an array of different numbers, to items (item); d must be the Jaccard distance of those."""
     spots = members.select("item", F.explode(F.array_distinct("bands")).alias("bucket"))
     shared = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("lead")).where("n > 1").drop("n")
     held = cut(spots.join(shared, "bucket"))
@@ -55,23 +58,37 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], farthe
     rows = open_buckets(rows.select("bucket", "item", "d1", F.when(F.col("item") == F.col("next"), 0.0).otherwise(F.col("d2")).alias("d2"), "next"), found)
     if rows.isEmpty():
         return found
-    large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("bucket")
-    small = rows.join(large, "bucket", "left_anti")
-    rows = small.select("bucket", "item", "d1", "d2", "class").union(_second_bands(rows.join(large, "bucket"), members).select("bucket", "item", "d1", "d2", "class"))
-    rows = cut(rows)
+    unplaced = [F.lit(None).cast("int").alias(c) for c in ("pos", "size")]
+    held = rows.select("bucket", "item", "d1", "d2", "class", *unplaced)
+    if sets is not None:
+        large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("bucket")
+        held = held.join(large, "bucket", "left_anti").union(_rare(rows.join(large, "bucket"), sets, 1 - farthest))
+    rows = cut(held)
     by_class = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("m"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("bucket", F.col("m.class").alias("main"))
     rows = rows.join(by_class, "bucket")
     x, y = rows.where("class <> main").alias("x"), rows.alias("y")
     near = lambda c: F.coalesce(F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) <= farthest, F.lit(True))
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class")) & near("d1") & near("d2"))
+    once = (F.col("y.class") == F.col("y.main")) | (F.col("x.item") < F.col("y.item"))
+    # the first token that two sets share leaves room for as many as they must share
+    room = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
+    enough = F.coalesce(room >= (1 - farthest) / (2 - farthest) * (F.col("x.size") + F.col("y.size")) - 1e-9, F.lit(True))
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class")) & once & near("d1") & near("d2") & enough)
     pairs = pairs.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()
     pairs = pairs.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(again.select("a", "b")), ["a", "b"], "left_anti")
     last = cut(verify(cut(pairs)))
     return components(links.union(last.where(F.col("d") <= farthest).select("a", "b")))
 
 
-def _second_bands(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Large buckets cut up: members meet again where another band agrees too."""
-    apart = rows.join(members, "item").select("item", "d1", "d2", "class", "bucket", F.explode(F.array_distinct("bands")).alias("band")).where("band <> bucket")
-    both = apart.withColumn("bucket", F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band")))  # two large bands cut each other up alike
-    return both.dropDuplicates(["bucket", "item"])
+def _rare(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """Members of large buckets by their rarest tokens: of a set of n, all but least x n, and one more. A token that a
+    single member holds takes a place but meets nobody."""
+    items = cut(rows.select("item", "class").distinct())
+    own = cut(sets(items.select("item")))
+    each = own.select("item", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = each.join(shared, "token").groupBy("item", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ranked"))
+    ahead = F.col("size") - F.size("ranked")
+    room = F.col("size") - F.ceil(F.col("size") * least - 1e-9).cast("int") + 1 - ahead
+    met = ranked.where(room > 0).select("item", "size", ahead.alias("ahead"), F.posexplode(F.slice("ranked", F.lit(1), room)).alias("k", "t"))
+    none = F.lit(None).cast("double")
+    return met.join(items, "item").select(F.xxhash64(F.lit("token"), F.col("t.token")).alias("bucket"), "item", none.alias("d1"), none.alias("d2"), "class", (F.col("ahead") + F.col("k")).alias("pos"), "size")

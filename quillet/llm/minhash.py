@@ -185,7 +185,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
         return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, d double")
 
-    found = classes(members, verify, 1 - similarity + 1e-12)
+    def sets(wanted: DataFrame) -> DataFrame:
+        """A shingle of weight w is w tokens, so the sets' similarity is the weighted one."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for s in slices(batches):
+                own = texts(s)
+                key, owner, weight = multisets(own, width)
+                layers = weight.astype(np.int64)
+                at = np.repeat(np.arange(len(key)), layers)
+                layer = np.arange(len(at)) - np.repeat(np.cumsum(layers) - layers, layers)
+                tokens = mixed(key[at] ^ (layer.astype(np.uint64) * _ODD))[np.argsort(owner[at], kind="stable")]
+                ends = np.cumsum(np.bincount(owner[at], minlength=len(own)))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(tokens.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([s.column("item"), lists], names=["item", "tokens"])
+
+        return wanted.join(texts_of[0], "item").select("item", "text").mapInArrow(run, "item long, tokens array<long>")
+
+    found = classes(members, verify, 1 - similarity + 1e-12, sets)
     named = cut(items.join(found, items["item"] == found["node"], "left").select("h1", "h2", "rep", F.coalesce("component", "item").alias("class")))
     least = named.groupBy("class").agg(F.min("rep").alias("component_id"))
     grouped = named.join(least, "class").select("h1", "h2", "component_id")

@@ -120,6 +120,35 @@ def test_classes_compare_all_that_differ(spark, monkeypatch, large):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 8, 10: 8}
 
 
+@pytest.mark.parametrize("by_tokens", [False, True])
+def test_classes_of_pairs_that_share_one_large_bucket(spark, monkeypatch, by_tokens):
+    """All members share one band and no second one; groups around different middles, so leaders settle few."""
+    monkeypatch.setattr(links, "LARGE", 4)
+    r = random.Random(5)
+    sets, passage = [], list(range(1000, 1060))
+    for g in range(12):
+        middle = [*passage, *range(g * 100, g * 100 + 60)]
+        for _ in range(5):
+            sets.append(set(middle) - set(r.sample(middle, r.randint(0, 12))) | {r.randrange(10**6, 10**9) for _ in range(r.randint(0, 12))})
+    held = spark.createDataFrame(list(enumerate(map(list, sets))), "item long, tokens array<long>")
+    members = held.select("item", F.array(F.lit(-1), F.col("item")).cast("array<long>").alias("bands"))
+
+    def verify(pairs):
+        a, b = held.select(F.col("item").alias("a"), F.col("tokens").alias("ta")), held.select(F.col("item").alias("b"), F.col("tokens").alias("tb"))
+        return pairs.join(a, "a").join(b, "b").select("a", "b", (1 - F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))).alias("d"))
+
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    want = {frozenset(i for i, x in enumerate(label) if x == c) for c in label if label.count(c) > 1}
+    got = {}
+    for x in links.classes(members, verify, 0.2 + 1e-12, *([lambda wanted: held.join(wanted, "item")] if by_tokens else [])).collect():
+        got.setdefault(x.component, set()).add(x.node)
+    assert len(want) > 5 and set(map(frozenset, got.values())) == want
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
