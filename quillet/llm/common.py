@@ -29,6 +29,15 @@ def pick(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def parted(rows: DataFrame) -> DataFrame:
+    """Adds part to rows (doc_id, text): 0, or a hash of the text where its doc_id comes with several different texts."""
+    own = F.xxhash64(F.lit(3), "text")
+    several = cut(rows.groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("of"), F.lit(True).alias("several")))
+    if several.isEmpty():
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    return rows.join(several, rows["doc_id"].eqNullSafe(several["of"]), "left").select(*rows.columns, F.when(F.col("several"), own).otherwise(F.lit(0)).cast("long").alias("part"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, or one row where it alone is longer."""
     for batch in batches:

@@ -7,8 +7,8 @@ empty coordinate throws on). Two documents agree on a coordinate with probabilit
 Bands of coordinates give candidates, which are verified exactly and united.
 
 Exact copies are one class before any of this. Texts of one to four words have one shingle, the whole text. Texts
-without words, null among them, stay apart from all others. Rows that repeat an id share its class; a null id is a
-document like others and never names a class that has another id.
+without words, null among them, stay apart from all others. Rows that repeat an id and its text share a class; a null
+id is a document like others and never names a class that has another id. What stays is decided by row, not by id.
 """
 
 from __future__ import annotations
@@ -158,8 +158,8 @@ def distance(batch: pa.RecordBatch, width: int = WIDTH) -> np.ndarray:
     return out
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id of the class of near duplicates) and kept (whether that is this one)."""
+def _named(docs: DataFrame, similarity: float, bands: int, rows: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' doc_id, h1, h2 and bands, and for each different text with words h1, h2, its smallest doc_id rep, and its class."""
     each = cut(signed(docs, bands, rows, width))
     items = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     items = cut(items.withColumn("item", F.monotonically_increasing_id()))
@@ -203,7 +203,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         return wanted.join(texts_of[0], "item").select("item", "text").mapInArrow(run, "item long, tokens array<long>")
 
     found = classes(members, verify, 1 - similarity + 1e-12, sets)
-    named = cut(items.join(found, items["item"] == found["node"], "left").select("h1", "h2", "rep", F.coalesce("component", "item").alias("class")))
+    return each, cut(items.join(found, items["item"] == found["node"], "left").where("bands is not null").select("h1", "h2", "rep", F.coalesce("component", "item").alias("class")))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id of the class of near duplicates) and kept (whether that is this one)."""
+    each, named = _named(docs, similarity, bands, rows, width)
     least = named.groupBy("class").agg(F.min("rep").alias("component_id"))
     grouped = named.join(least, "class").select("h1", "h2", "component_id")
     alone = each.where("bands is null").select("doc_id", F.col("doc_id").alias("component_id"))
@@ -212,6 +217,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents without those that another of their class stands for."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    """One row of each class, that of the smallest doc_id (null only if all are), and every row whose text has no words."""
+    each, named = _named(docs, SIMILARITY, BANDS, ROWS, WIDTH)
+    first = named.groupBy("class").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h1", "h2")).alias("m")).select("m.rep", F.col("m.h1").alias("f1"), F.col("m.h2").alias("f2"))
+    rows = each.where("bands is not null").groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    same = (rows["h1"] == first["f1"]) & (rows["h2"] == first["f2"]) & rows["doc_id"].eqNullSafe(first["rep"])
+    # what goes, and what stays once of several rows
+    held = cut(rows.join(first, same, "left").where("f1 is null or n > 1").select(F.col("doc_id").alias("of"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("f1").isNotNull().alias("stays")))
+    text = F.coalesce(docs["text"], F.lit(""))
+    h1, h2 = F.xxhash64(F.lit(1), text), F.xxhash64(text, F.lit(2))
+    here = (h1 == held["g1"]) & (h2 == held["g2"]) & docs["doc_id"].eqNullSafe(held["of"])
+    out = docs.join(held, here, "left_anti")
+    once = held.where("stays")
+    if once.isEmpty():
+        return out
+    repeated = docs.join(once, here, "left_semi").select(docs["doc_id"].alias("of"), h1.alias("g1"), h2.alias("g2"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    return out.union(repeated.groupBy("of", "g1", "g2").agg(F.first("row").alias("row")).select("row.*"))

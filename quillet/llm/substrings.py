@@ -8,7 +8,8 @@ the strings' prefix polynomial hashes are compared in sorted order, with the byt
 
 Groups of anchors are dealt by hash into as many buckets as the bytes need, so tasks stay of one size; a passage that
 many documents share spreads over its anchors. A null text is empty. Rows that repeat a doc_id are one document and
-don't count against each other; a null doc_id comes before all others.
+don't count against each other, but each of its texts, told apart by a part, loses what is found in it alone; a null
+doc_id comes before all others.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import mixed, pick, powers, slices, texts
+from quillet.llm.common import mixed, parted, pick, powers, slices, texts
 from quillet.session import cut
 
 LENGTH, GRAM = 50, 16
@@ -69,80 +70,83 @@ def _buckets(total: int, spark) -> int:  # noqa: ANN001
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1)
 
 
-def _pack(docs: np.ndarray, grams: np.ndarray, at: np.ndarray) -> bytes:
+def _pack(docs: np.ndarray, parts: np.ndarray, grams: np.ndarray, at: np.ndarray) -> bytes:
     """Occurrences in few bytes: they are sorted by document, so what repeats or grows slowly deflates well."""
-    known, index = np.unique(docs, return_inverse=True)
+    new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (parts[1:] != parts[:-1])])
+    known, own, index = docs[new], parts[new], np.cumsum(new) - 1
     planes = at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
     steps = np.diff(index, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    rest = zlib.compress(np.diff(known, prepend=0).astype("<i8").tobytes() + steps + planes, 1)
+    rest = zlib.compress(np.diff(known, prepend=0).astype("<i8").tobytes() + own.astype("<i8").tobytes() + steps + planes, 1)
     return np.array([len(known), len(at)], "<u4").tobytes() + grams.astype("<u4").tobytes() + rest
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n_docs, n = np.frombuffer(raw, "<u4", 2).tolist()
     grams = np.frombuffer(raw, "<u4", n, 8)
     rest = zlib.decompress(raw[8 + 4 * n :])
-    known = np.cumsum(np.frombuffer(rest, "<i8", n_docs))
-    whole = lambda k: np.frombuffer(rest, np.uint8, 4 * n, 8 * n_docs + 4 * n * k).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
-    return known[np.cumsum(whole(0))], grams, whole(1)
+    known, own = np.cumsum(np.frombuffer(rest, "<i8", n_docs)), np.frombuffer(rest, "<i8", n_docs, 8 * n_docs)
+    whole = lambda k: np.frombuffer(rest, np.uint8, 4 * n, 16 * n_docs + 4 * n * k).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
+    index = np.cumsum(whole(0))
+    return known[index], own[index], grams, whole(1)
 
 
 def _deflated(docs: DataFrame) -> DataFrame:
-    """doc and its text deflated, as whole texts are about to be shuffled."""
+    """doc, part and its text deflated, as whole texts are about to be shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([zlib.compress(t, 6) for t in texts(b)], pa.binary())], names=["doc", "deflated"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("part"), pa.array([zlib.compress(t, 6) for t in texts(b)], pa.binary())], names=["doc", "part", "deflated"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, deflated binary")
+    return docs.select("doc", "part", "text").mapInArrow(run, "doc long, part long, deflated binary")
 
 
 def covered(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """(doc, spans): the spans [start, end) to remove from texts whose doc isn't in ``copies``; docs are ordered by number."""
+    """(doc, part, spans): the spans [start, end) to remove from texts whose doc and part aren't in ``copies``; docs are ordered by number."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = _buckets(total, spark)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [(doc, *anchors(text)) for doc, text in sorted(zip(b.column("doc").to_pylist(), texts(b), strict=True))]
+            found = [(doc, *anchors(text), part) for doc, part, text in sorted(zip(b.column("doc").to_pylist(), b.column("part").to_pylist(), texts(b), strict=True))]
             found = [f for f in found if len(f[1])]
             if not found:
                 continue
             of = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
+            part = np.repeat(np.array([f[3] for f in found], np.int64), [len(f[1]) for f in found])
             at, h = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
             bucket = (h % np.uint64(n)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            bucket, of, at, h = bucket[order], of[order], at[order], (h >> np.uint64(32))[order]
+            bucket, of, part, at, h = bucket[order], of[order], part[order], at[order], (h >> np.uint64(32))[order]
             edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
-            packed = [_pack(of[i:j], h[i:j], at[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+            packed = [_pack(of[i:j], part[i:j], h[i:j], at[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
     def several(f: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(x) for x in f["packed"]]
-        d, a, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        d, part, a, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
         order = np.lexsort((d, a))
-        d, a, at = d[order], a[order], at[order]
+        d, part, a, at = d[order], part[order], a[order], at[order]
         first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         size = np.diff(np.append(first, len(a)))
         keep = np.repeat(d[first] != d[first + size - 1], size)
-        return pd.DataFrame({"bucket": f["bucket"].iloc[0], "anchor": a[keep].astype(np.int64), "doc": d[keep], "pos": at[keep]})
+        return pd.DataFrame({"bucket": f["bucket"].iloc[0], "anchor": a[keep].astype(np.int64), "doc": d[keep], "part": part[keep], "pos": at[keep]})
 
-    spots = docs.select("doc", "text").mapInArrow(find, "bucket long, packed binary").groupBy("bucket").applyInPandas(several, "bucket long, anchor long, doc long, pos long")
-    places = spots.groupBy("doc").agg(F.collect_list(F.struct("bucket", "anchor", "pos")).alias("places")).join(copies, "doc", "left_anti")
+    spots = docs.select("doc", "part", "text").mapInArrow(find, "bucket long, packed binary").groupBy("bucket").applyInPandas(several, "bucket long, anchor long, doc long, part long, pos long")
+    places = spots.groupBy("doc", "part").agg(F.collect_list(F.struct("bucket", "anchor", "pos")).alias("places")).join(copies, ["doc", "part"], "left_anti")
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "deflated"):
-            held = [(doc, text, own.values) for doc, text, own in zip(b.column("doc").to_pylist(), map(zlib.decompress, texts(b, "deflated")), b.column("places"), strict=True)]
+            held = [(doc, part, text, own.values) for doc, part, text, own in zip(b.column("doc").to_pylist(), b.column("part").to_pylist(), map(zlib.decompress, texts(b, "deflated")), b.column("places"), strict=True)]
             if not held:
                 continue
             get = lambda name: np.concatenate([p.field(name).to_numpy(zero_copy_only=False) for *_, p in held])  # noqa: B023, E731
             sizes = [len(p) for *_, p in held]
             bucket, pos = get("bucket"), get("pos")
-            length = np.repeat([len(text) for _, text, _ in held], sizes)
-            numbers = np.stack([get("anchor"), np.repeat(np.array([doc for doc, *_ in held], np.int64), sizes), pos, np.minimum(pos, REACH), np.minimum(length - pos, LENGTH)]).astype("<i8")
+            length = np.repeat([len(text) for *_, text, _ in held], sizes)
+            numbers = np.stack([get("anchor"), np.repeat(np.array([doc for doc, *_ in held], np.int64), sizes), np.repeat(np.array([part for _, part, *_ in held], np.int64), sizes), pos, np.minimum(pos, REACH), np.minimum(length - pos, LENGTH)]).astype("<i8")
             views = []
-            for _, text, p in held:
+            for *_, text, p in held:
                 padded = np.frombuffer(b"\0" * REACH + text + b"\0" * LENGTH, np.uint8)
                 views.append(np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[p.field("pos").to_numpy(zero_copy_only=False)])
             view = np.concatenate(views)
@@ -151,17 +155,17 @@ def covered(docs: DataFrame, copies: DataFrame) -> DataFrame:
             packed = [zlib.compress(numbers[:, order[i:j]].tobytes() + view[order[i:j]].tobytes(), 1) for i, j in zip(edges, edges[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[order[edges[:-1]]]), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
-    around = places.join(_deflated(docs), "doc").select("doc", "deflated", "places").mapInArrow(context, "bucket long, packed binary")
-    spans = around.groupBy("bucket").applyInPandas(earlier, "doc long, start long, end long")
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    around = places.join(_deflated(docs), ["doc", "part"]).select("doc", "part", "deflated", "places").mapInArrow(context, "bucket long, packed binary")
+    spans = around.groupBy("bucket").applyInPandas(earlier, "doc long, part long, start long, end long")
+    return spans.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def earlier(f: pd.DataFrame) -> pd.DataFrame:
     """For each occurrence of a shared anchor, the span of its strings that an earlier document holds too."""
     raw = [zlib.decompress(x) for x in f["packed"]]
-    each = [len(x) // (40 + CONTEXT) for x in raw]
-    anchor, doc, pos, before, after = np.concatenate([np.frombuffer(x, "<i8", 5 * n).reshape(5, n) for x, n in zip(raw, each, strict=True)], axis=1)
-    bytes_ = np.concatenate([np.frombuffer(x, np.uint8, -1, 40 * n).reshape(n, CONTEXT) for x, n in zip(raw, each, strict=True)])
+    each = [len(x) // (48 + CONTEXT) for x in raw]
+    anchor, doc, part, pos, before, after = np.concatenate([np.frombuffer(x, "<i8", 6 * n).reshape(6, n) for x, n in zip(raw, each, strict=True)], axis=1)
+    bytes_ = np.concatenate([np.frombuffer(x, np.uint8, -1, 48 * n).reshape(n, CONTEXT) for x, n in zip(raw, each, strict=True)])
     anchor = np.ascontiguousarray(anchor).view(np.uint64)
     n = len(doc)
     values = mixed(bytes_.astype(np.uint64) + np.uint64(1)) * powers(_B, CONTEXT)[None, :]
@@ -185,7 +189,7 @@ def earlier(f: pd.DataFrame) -> pd.DataFrame:
         end[who] = np.where(end[who] < 0, pos[who] - a + LENGTH, end[who])
         start[who] = pos[who] - a
     got = end >= 0
-    return pd.DataFrame({"doc": doc[got], "start": start[got], "end": end[got]})
+    return pd.DataFrame({"doc": doc[got], "part": part[got], "start": start[got], "end": end[got]})
 
 
 def remove(text: bytes, spans: np.ndarray) -> tuple[bytes, int]:
@@ -201,14 +205,14 @@ def remove(text: bytes, spans: np.ndarray) -> tuple[bytes, int]:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), text.alias("text"), F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(text, F.lit(2)).alias("h2"))
-    names = rows.select("doc", "h1", "h2")
-    copies = cut(names.join(names.groupBy("h1", "h2").agg(F.min("doc").alias("first")), ["h1", "h2"]).where("doc > first").select("doc").distinct())
-    docs_ = rows.select("doc", "text")
-    spans = cut(covered(docs_, copies))
-    fates = spans.select("doc", "spans", F.lit(False).alias("copy")).union(copies.select("doc", F.lit(None).cast(spans.schema["spans"].dataType), F.lit(True)))
+    rows = parted(pick(docs, "doc_id", "text").select("doc_id", text.alias("text")))
+    rows = rows.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), "part", "text")
+    names = rows.select("doc", "part", F.xxhash64(F.lit(1), "text").alias("h1"), F.xxhash64("text", F.lit(2)).alias("h2"))
+    copies = cut(names.join(names.groupBy("h1", "h2").agg(F.min("doc").alias("first")), ["h1", "h2"]).where("doc > first").select("doc", "part").distinct())
+    spans = cut(covered(rows, copies))
+    fates = spans.select("doc", "part", "spans", F.lit(False).alias("copy")).union(copies.select("doc", "part", F.lit(None).cast(spans.schema["spans"].dataType), F.lit(True)))
     # a null doc_id is the number _FIRST and goes back to null
-    joined = _deflated(docs_).join(fates, "doc", "left").select(F.when(F.col("doc") != _FIRST, F.col("doc")).alias("doc_id"), "deflated", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
+    joined = _deflated(rows).join(fates, ["doc", "part"], "left").select(F.when(F.col("doc") != _FIRST, F.col("doc")).alias("doc_id"), "deflated", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "deflated"):

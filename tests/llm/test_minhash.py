@@ -66,6 +66,16 @@ def test_empty(spark):
     assert minhash.keep(data.empty(spark)).count() == 0
 
 
+def test_keep_by_row(spark):
+    """Null and repeated ids: clean rows stay beside the copies, and one row of each class."""
+    base = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdefg"}
+    rows = [(1, base["a"]), (None, base["a"] + " x"), (None, base["b"]), (2, base["c"]), (2, base["a"] + " y"), (None, base["d"]), (None, base["d"] + " z"), (3, base["e"]), (3, base["e"]), (4, base["f"]), (3, base["f"]), (None, None), (None, "")]
+    kept = [(r.doc_id, r.text) for r in minhash.keep(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], data.DOCS)).collect()]
+    want = [(1, base["a"]), (None, base["b"]), (2, base["c"]), (3, base["e"]), (3, base["f"]), (None, None), (None, "")]
+    named = [x for x in kept if x[1] not in (base["d"], base["d"] + " z")]
+    assert sorted(named, key=str) == sorted(want, key=str) and len(kept) == len(named) + 1
+
+
 def edited(words, n, r):
     out = list(words)
     for i in r.sample(range(len(out)), n):

@@ -58,6 +58,12 @@ def test_shared_passages(spark):
     assert got(substrings.dedup(df)) == brute(rows)
 
 
+def test_different_texts_under_one_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (2, b + a), (None, c), (None, d), (3, c + b), (3, d), (3, d), (4, "x" + d + "y"), (4, c[:20])]
+    assert got(substrings.dedup(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], data.DOCS))) == brute(rows)
+
+
 def test_empty(spark):
     assert substrings.dedup(data.empty(spark)).count() == 0
 
