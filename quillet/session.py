@@ -2,39 +2,65 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether the shuffle files of a query go as soon as it has ended, instead of when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of its own only where none is set, as in tests."""
-    held = spark.sparkContext.getCheckpointDir()
+    """The cluster's checkpoint folder. Only a session on one machine, as in tests, may do without the setting."""
+    context = spark.sparkContext
+    held = context.getCheckpointDir()
     if held:
         return held
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillet-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillet-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the shared folder, which outlives any executor.
+    """Computed once and kept as a table in the shared folder, which outlives any executor.
 
-    A checkpoint carries the estimated size of the plan that it cuts, which multiplies with every join of an iteration
-    until planning itself takes minutes. The rows are named afresh, so sizes are those seen at run time."""
+    Columnar files take a fraction of a checkpoint's room, their sizes are known to the planner, and the shuffle files
+    that made them go at once."""
     spark = df.sparkSession
-    shared_dir(spark)
-    held = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
+    path = scratch(spark, "cut")
+    with _shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillet_path = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle and checkpoint files of plans that nothing names any more; Spark waits for its driver's
-    collector to notice, which in an iteration of small jobs may be never."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``cut`` made. Nothing that is still to be computed may read them."""
+    for df in tables:
+        path = getattr(df, "_quillet_path", None) if df is not None else None
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
