@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.session import cut
+from quillet.session import cut, discard
 
 #: Words are maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,31 +61,31 @@ def components(edges: DataFrame) -> DataFrame:
     """Union-find over links (a, b): returns (node, component) for every node with a link, named by the smallest member.
 
     Each round hooks every node to the neighbour of least priority, if that is less than its own, and contracts the
-    links. Priorities are hashes salted by the round, so chains of any order shrink by a constant part each time.
-    Only minima and joins are needed, no group is gathered, and every round is cut into the shared folder."""
+    links. Priorities are the numbers themselves at first, as a bucket's leader is its smallest member, and then hashes
+    salted by the round, so chains of any order shrink by a constant part each time. Only minima and joins are needed,
+    no group is gathered, and every round is cut into the shared folder."""
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     links = cut(edges.where("a <> b").select(*ordered(F.col("a"), F.col("b"))).distinct())
-    held: DataFrame | None = None
-    salt = 0
+    hooks: list[DataFrame] = []
     while not links.isEmpty():
-        rank = lambda c: F.xxhash64(F.lit(salt), F.col(c))  # noqa: B023, E731
+        rank = (lambda c: F.xxhash64(F.lit(len(hooks)), F.col(c))) if hooks else F.col
         ways = links.union(links.select("b", "a"))
-        best = ways.groupBy("a").agg(F.min(F.struct(rank("b").alias("rank"), F.col("b").alias("to"))).alias("best"))
-        hooks = cut(best.select(F.col("a").alias("node"), F.when(F.col("best.rank") < rank("a"), F.col("best.to")).otherwise(F.col("a")).alias("to")))
-        left, right = hooks.select(F.col("node").alias("a"), F.col("to").alias("a2")), hooks.select(F.col("node").alias("b"), F.col("to").alias("b2"))
-        links = cut(links.join(left, "a").join(right, "b").where("a2 <> b2").select(*ordered(F.col("a2"), F.col("b2"))).distinct())
-        if held is None:
-            held = hooks
-        else:
-            step = hooks.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            held = cut(held.join(step, "to", "left").select("node", F.coalesce("next", "to").alias("to")))
-        salt += 1
-    if held is None:
+        best = ways.groupBy("a").agg(F.min(rank("b")).alias("rank"), F.min_by("b", rank("b")).alias("to"))
+        hooks.append(cut(best.select(F.col("a").alias("node"), F.when(F.col("rank") < rank("a"), F.col("to")).otherwise(F.col("a")).alias("to"))))
+        left, right = (hooks[-1].select(F.col("node").alias(c), F.col("to").alias(f"{c}2")) for c in "ab")
+        rest = cut(links.join(left, "a").join(right, "b").where("a2 <> b2").select(*ordered(F.col("a2"), F.col("b2"))).distinct())
+        discard(links)
+        links = rest
+    if not hooks:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    held = hooks[0]
+    for h in hooks[1:]:
+        held = held.join(h.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+    held = cut(held)
     names = held.groupBy("to").agg(F.min("node").alias("component"))
-    return held.join(names, "to").select("node", "component")
-
-
+    out = cut(held.join(names, "to").select("node", "component"))
+    discard(links, held, *hooks)
+    return out
 
 
 def powers(base: int, n: int) -> np.ndarray:

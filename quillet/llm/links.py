@@ -1,94 +1,121 @@
 """From candidate buckets to the links that matter, without all pairs of a bucket.
 
-Distances must form a metric. Every bucket first compares its members with one leader. Members whose components then
-differ are compared with a second leader, the one nearest to the first, which tends to be the middle of a group. What
-still differs is compared directly, if the triangle inequality by the two leaders allows a link; there the largest
-component of a bucket isn't compared within itself. Members of large buckets meet by their rarest tokens instead, where
-the caller has sets whose Jaccard distance is the one in question: two sets that are near enough share one of the few
-first tokens in any order that holds for all, so none is lost. So every pair of a bucket is compared, or in one
-component already, or too far apart by the inequality or by the tokens.
+Every bucket first compares its members with one leader. Buckets whose members are in one component then are done. In
+the others, members of different components remain to be compared, if the triangle inequality by the leader allows a
+link. Where those pairs are few they are compared directly. Where they are many, the bucket is split by tokens: all its
+members order their tokens alike, those that the leader lacks first, and keep the first few of them; two sets that are
+near enough share one of these, whatever the order, so no link is lost, and what made the bucket large, which the leader
+has too, comes last. The parts are buckets like others, with new leaders, and so on. After ``LEVELS`` levels what is
+left is compared directly, so every pair of a bucket is compared, or in one component already, or too far apart.
+
+Distances are Jaccard distances of sets, or of multisets taken as sets of numbered tokens.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet.llm.common import components
-from quillet.session import cut, release
-
-#: In buckets of more members those are compared directly that share a rare token, if there are sets of tokens.
-LARGE = 48
-
-
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], farthest: float, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, component) over members (item, bands) that have a link; a band is a number that names it and its content. ``verify`` adds the distance d to pairs (a, b).
-
-    ``sets`` adds tokens, an array of different numbers, to items (item); d must be the Jaccard distance of those."""
-    spots = members.select("item", F.explode(F.array_distinct("bands")).alias("bucket"))
-    shared = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("lead")).where("n > 1").drop("n")
-    held = cut(spots.join(shared, "bucket"))
-    first = cut(verify(held.where("item <> lead").select(F.col("lead").alias("a"), F.col("item").alias("b")).distinct()))
-    links = first.where(F.col("d") <= farthest).select("a", "b")
-    found = components(links)
-
-    def open_buckets(rows: DataFrame, found: DataFrame) -> DataFrame:
-        """Members of the buckets that still hold several components."""
-        named = rows.drop("class").join(found, rows["item"] == found["node"], "left").select(rows["bucket"], rows["item"], *[rows[c] for c in rows.columns if c in ("lead", "d1", "d2", "next")], F.coalesce("component", rows["item"]).alias("class"))
-        release(rows.sparkSession)
-        several = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
-        return cut(named.join(several, "bucket"))
-
-    rows = held.join(first.select(F.col("a").alias("lead"), F.col("b").alias("item"), F.col("d").alias("d1")), ["lead", "item"], "left")
-    rows = rows.select("bucket", "item", "lead", F.coalesce("d1", F.lit(0.0)).alias("d1"))
-    rows = open_buckets(rows, found)
-    if rows.isEmpty():
-        return found
-    # the second leader: of those nearest to the first
-    second = rows.where("item <> lead").groupBy("bucket").agg(F.min(F.struct("d1", "item", "class")).alias("m")).select("bucket", F.col("m.item").alias("next"), F.col("m.d1").alias("gap"), F.col("m.class").alias("next_class"))
-    rows = cut(rows.join(second, "bucket").drop("lead"))
-    asked = rows.where((F.col("item") != F.col("next")) & (F.abs(F.col("d1") - F.col("gap")) <= farthest) & (F.col("class") != F.col("next_class")))
-    again = cut(verify(asked.select(F.least("next", "item").alias("a"), F.greatest("next", "item").alias("b")).distinct()))
-    links = links.union(again.where(F.col("d") <= farthest).select("a", "b"))
-    found = components(links)
-    known = again.select("a", "b", F.col("d").alias("d2"))
-    rows = rows.withColumn("a", F.least("next", "item")).withColumn("b", F.greatest("next", "item")).join(known, ["a", "b"], "left")
-    rows = open_buckets(rows.select("bucket", "item", "d1", F.when(F.col("item") == F.col("next"), 0.0).otherwise(F.col("d2")).alias("d2"), "next"), found)
-    if rows.isEmpty():
-        return found
-    unplaced = [F.lit(None).cast("int").alias(c) for c in ("pos", "size")]
-    held = rows.select("bucket", "item", "d1", "d2", "class", *unplaced)
-    if sets is not None:
-        large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("bucket")
-        held = held.join(large, "bucket", "left_anti").union(_rare(rows.join(large, "bucket"), sets, 1 - farthest))
-    rows = cut(held)
-    by_class = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("m"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("bucket", F.col("m.class").alias("main"))
-    rows = rows.join(by_class, "bucket")
+from quillet.session import cut, discard
+
+#: Buckets with more pairs to compare are split by tokens; how often at most.
+MANY, LEVELS = 512, 5
+
+Step = Callable[[DataFrame], DataFrame]
+
+
+def room(size: Column, similarity: float) -> Column:
+    """How many of its first tokens a set of this size keeps, so that near sets share one."""
+    return (size - F.ceil(size * similarity - 1e-9) + 1).cast("int")
+
+
+def classes(members: DataFrame, verify: Step, farthest: float, firsts: Step) -> DataFrame:
+    """(node, component) over members (item, bands) that have a link; a band is a number that names it and its content.
+
+    ``verify`` adds the distance d to pairs (a, b). ``firsts`` adds size and tokens to pairs (lead, item): how many tokens
+    the item has, and the first ``room`` of them in the order by lead."""
+    spots = members.select("item", F.explode(F.array_distinct("bands")).alias("bucket"), *_unplaced("pos", "size"))
+    links: list[DataFrame] = []
+    tables: list[DataFrame] = []
+    found: DataFrame | None = None
+    direct: DataFrame | None = None
+    for level in range(LEVELS + 1):
+        held = _led(spots, found, level)
+        pairs = held.where("apart").select(*_ordered("lead", "item"))
+        if direct is not None:
+            pairs = pairs.union(direct)
+        seen = cut(verify(pairs.distinct()))
+        links.append(seen.where(F.col("d") <= farthest).select("a", "b"))
+        discard(*(x for x in (direct, found) if x is not None))
+        every = links[0]
+        for x in links[1:]:
+            every = every.union(x)
+        found = components(every)
+        tables += [seen]
+        rows = _open(held, seen, found)
+        discard(held)
+        if rows.isEmpty():
+            discard(rows, *tables)
+            return found
+        few = rows if level == LEVELS else rows.where(F.col("todo") <= MANY)
+        direct = cut(_direct(few, farthest))
+        many = rows.where(F.lit(level < LEVELS) & (F.col("todo") > MANY))
+        told = firsts(many.where("item <> lead").select("lead", "item").distinct()).select("item", "lead", "size", F.posexplode("tokens").alias("pos", "token"))
+        spots = cut(told.select("item", F.xxhash64("lead", "token").alias("bucket"), "pos", "size"))
+        discard(rows)
+        if spots.isEmpty():
+            seen = cut(verify(direct))
+            links.append(seen.where(F.col("d") <= farthest).select("a", "b"))
+            every = every.union(links[-1])
+            done = components(every)
+            discard(direct, found, spots, seen, *tables)
+            return done
+    raise AssertionError("the last level leaves nothing open")
+
+
+def _unplaced(*names: str) -> list[Column]:
+    return [F.lit(None).cast("int").alias(c) for c in names]
+
+
+def _ordered(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _led(spots: DataFrame, found: DataFrame | None, level: int) -> DataFrame:
+    """Members of the buckets of several, or of several components, with the bucket's leader, and whether they are apart
+    from it, so that a comparison is of use."""
+    if found is None:
+        shared = spots.groupBy("bucket").agg(F.min("item").alias("lead"), F.max("item").alias("last")).where("lead <> last").drop("last")
+        return cut(spots.join(shared, "bucket").withColumn("apart", F.col("item") != F.col("lead")))
+    named = spots.join(found, spots["item"] == found["node"], "left").select("bucket", "item", "pos", "size", F.coalesce("component", "item").alias("class"))
+    rank = F.xxhash64(F.lit(level), "item")
+    shared = named.groupBy("bucket").agg(F.min_by("item", rank).alias("lead"), F.min_by("class", rank).alias("lead_class"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    return cut(named.join(shared, "bucket").withColumn("apart", F.col("class") != F.col("lead_class")).drop("class", "lead_class"))
+
+
+def _open(held: DataFrame, seen: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components: with the distance d to the leader, the component (class), the
+    bucket's largest (main) and how many pairs are of different ones (todo)."""
+    known = seen.select(F.col("a").alias("u"), F.col("b").alias("v"), "d")
+    rows = held.join(found, held["item"] == found["node"], "left").select("bucket", "item", "lead", "pos", "size", F.coalesce("component", "item").alias("class"))
+    each = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+    several = each.groupBy("bucket").agg(F.max_by("class", "n").alias("main"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    several = several.select("bucket", "main", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("todo"))
+    rows = rows.join(several, "bucket").withColumns({"u": F.least("lead", "item"), "v": F.greatest("lead", "item")}).join(known, ["u", "v"], "left").drop("u", "v")
+    return cut(rows.withColumn("d", F.when(F.col("item") == F.col("lead"), 0.0).otherwise(F.col("d"))))
+
+
+def _direct(rows: DataFrame, farthest: float) -> DataFrame:
+    """Pairs of different components in a bucket that may be near enough. The leader has been compared already."""
+    rows = rows.where("item <> lead")
     x, y = rows.where("class <> main").alias("x"), rows.alias("y")
-    near = lambda c: F.coalesce(F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) <= farthest, F.lit(True))
     once = (F.col("y.class") == F.col("y.main")) | (F.col("x.item") < F.col("y.item"))
+    near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= farthest, F.lit(True))
     # the first token that two sets share leaves room for as many as they must share
-    room = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    enough = F.coalesce(room >= (1 - farthest) / (2 - farthest) * (F.col("x.size") + F.col("y.size")) - 1e-9, F.lit(True))
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class")) & once & near("d1") & near("d2") & enough)
-    pairs = pairs.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()
-    pairs = pairs.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(again.select("a", "b")), ["a", "b"], "left_anti")
-    last = cut(verify(cut(pairs)))
-    return components(links.union(last.where(F.col("d") <= farthest).select("a", "b")))
-
-
-def _rare(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """Members of large buckets by their rarest tokens: of a set of n, all but least x n, and one more. A token that a
-    single member holds takes a place but meets nobody."""
-    items = cut(rows.select("item", "class").distinct())
-    own = cut(sets(items.select("item")))
-    each = own.select("item", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ranked = each.join(shared, "token").groupBy("item", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ranked"))
-    ahead = F.col("size") - F.size("ranked")
-    room = F.col("size") - F.ceil(F.col("size") * least - 1e-9).cast("int") + 1 - ahead
-    met = ranked.where(room > 0).select("item", "size", ahead.alias("ahead"), F.posexplode(F.slice("ranked", F.lit(1), room)).alias("k", "t"))
-    none = F.lit(None).cast("double")
-    return met.join(items, "item").select(F.xxhash64(F.lit("token"), F.col("t.token")).alias("bucket"), "item", none.alias("d1"), none.alias("d2"), "class", (F.col("ahead") + F.col("k")).alias("pos"), "size")
+    left = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
+    enough = F.coalesce(left >= (1 - farthest) / (2 - farthest) * (F.col("x.size") + F.col("y.size")) - 1e-9, F.lit(True))
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class")) & once & near & enough)
+    return pairs.select(*_ordered("x.item", "y.item")).distinct()

@@ -114,10 +114,8 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("large", [4, 1000])
-def test_classes_compare_all_that_differ(spark, monkeypatch, large):
+def test_classes_compare_all_that_differ(spark):
     """Points on a line in a few buckets: links are of length 1 at most, so leaders alone can't find them all."""
-    monkeypatch.setattr(links, "LARGE", large)
     points = [(i, float(x)) for i, x in enumerate([0, 0.9, 1.8, 2.7, 5, 5.5, 9, 9.9, 20, 20.5, 21])]
     spots = spark.createDataFrame(points, "item long, x double")
     members = spots.select("item", F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(3)).cast("array<long>").alias("bands"))
@@ -126,26 +124,35 @@ def test_classes_compare_all_that_differ(spark, monkeypatch, large):
         a, b = spots.select(F.col("item").alias("a"), F.col("x").alias("xa")), spots.select(F.col("item").alias("b"), F.col("x").alias("xb"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", F.abs(F.col("xa") - F.col("xb")).alias("d"))
 
-    got = {r.node: r.component for r in links.classes(members, verify, 1.0).collect()}
+    none = lambda pairs: pairs.select("lead", "item", F.lit(1).alias("size"), F.array().cast("array<long>").alias("tokens"))
+    got = {r.node: r.component for r in links.classes(members, verify, 1.0, none).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 8, 10: 8}
 
 
-@pytest.mark.parametrize("by_tokens", [False, True])
-def test_classes_of_pairs_that_share_one_large_bucket(spark, monkeypatch, by_tokens):
-    """All members share one band and no second one; groups around different middles, so leaders settle few."""
-    monkeypatch.setattr(links, "LARGE", 4)
+@pytest.mark.parametrize("many", [0, 6, 10**6])
+def test_classes_of_pairs_that_share_one_large_bucket(spark, monkeypatch, many):
+    """All members share one band and no second one; groups around different middles, some of which share a second
+    passage, so leaders settle few."""
+    monkeypatch.setattr(links, "MANY", many)
     r = random.Random(5)
-    sets, passage = [], list(range(1000, 1060))
+    sets, passage, second = [], list(range(1000, 1060)), list(range(3000, 3050))
     for g in range(12):
-        middle = [*passage, *range(g * 100, g * 100 + 60)]
+        middle = [*passage, *range(g * 100, g * 100 + 60), *(second if g % 2 else [])]
         for _ in range(5):
             sets.append(set(middle) - set(r.sample(middle, r.randint(0, 12))) | {r.randrange(10**6, 10**9) for _ in range(r.randint(0, 12))})
     held = spark.createDataFrame(list(enumerate(map(list, sets))), "item long, tokens array<long>")
     members = held.select("item", F.array(F.lit(-1), F.col("item")).cast("array<long>").alias("bands"))
 
+    def both(pairs, a, b):
+        x, y = held.select(F.col("item").alias(a), F.col("tokens").alias("ta")), held.select(F.col("item").alias(b), F.col("tokens").alias("tb"))
+        return pairs.join(x, a).join(y, b)
+
     def verify(pairs):
-        a, b = held.select(F.col("item").alias("a"), F.col("tokens").alias("ta")), held.select(F.col("item").alias("b"), F.col("tokens").alias("tb"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", (1 - F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))).alias("d"))
+        return both(pairs, "a", "b").select("a", "b", (1 - F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))).alias("d"))
+
+    def firsts(pairs):
+        ranked = F.concat(F.sort_array(F.array_except("tb", "ta")), F.sort_array(F.array_intersect("tb", "ta")))
+        return both(pairs, "lead", "item").select("lead", "item", F.size("tb").alias("size"), F.slice(ranked, F.lit(1), links.room(F.size("tb"), 0.8)).alias("tokens"))
 
     label = list(range(len(sets)))
     for i in range(len(sets)):
@@ -154,11 +161,24 @@ def test_classes_of_pairs_that_share_one_large_bucket(spark, monkeypatch, by_tok
                 label = [label[j] if x == label[i] else x for x in label]
     want = {frozenset(i for i, x in enumerate(label) if x == c) for c in label if label.count(c) > 1}
     got = {}
-    for x in links.classes(members, verify, 0.2 + 1e-12, *([lambda wanted: held.join(wanted, "item")] if by_tokens else [])).collect():
+    for x in links.classes(members, verify, 0.2 + 1e-12, firsts).collect():
         got.setdefault(x.component, set()).add(x.node)
     assert len(want) > 5 and set(map(frozenset, got.values())) == want
 
 
+def test_first_tokens():
+    """Those that the leader lacks come first, and near multisets share one of the first."""
+    r = random.Random(4)
+    for _ in range(40):
+        words = [r.choice("abcdefgh") for _ in range(60)]
+        own = [" ".join(edited(words, r.randint(0, 2), r)).encode() for _ in range(2)]
+        lead = " ".join(r.choice("abcdefgh") for _ in range(60)).encode()
+        sizes, lists = minhash.first_tokens([lead, lead], own, 0.8)
+        a, b = (set(x) for x in lists.to_pylist())
+        assert sizes.to_pylist() == [56, 56] and all(len(x) == 56 - 45 + 1 for x in (a, b))
+        assert similarity(*(weights(x.decode()) for x in own)) < 0.8 or a & b
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
