@@ -2,7 +2,7 @@
 
 Every bucket first compares its members with one leader. Buckets whose members are in one component then are done. In
 the others, members of different components remain to be compared, if the triangle inequality by the leader allows a
-link. Where those pairs are few they are compared directly. Where they are many, the bucket is split by tokens: all its
+link. Where those pairs are few they are compared directly, two by two. Where they are many, the bucket is split by tokens: all its
 members order their tokens alike, those that the leader lacks first, and keep the first few of them; two sets that are
 near enough share one of these, whatever the order, so no link is lost, and what made the bucket large, which the leader
 has too, comes last. The parts are buckets like others, with new leaders, and so on. After ``LEVELS`` levels what is
@@ -35,45 +35,54 @@ def room(size: Column, similarity: float) -> Column:
 def classes(members: DataFrame, verify: Step, farthest: float, firsts: Step) -> DataFrame:
     """(node, component) over members (item, bands) that have a link; a band is a number that names it and its content.
 
-    ``verify`` adds the distance d to pairs (a, b). ``firsts`` adds size and tokens to pairs (lead, item): how many tokens
-    the item has, and the first ``room`` of them in the order by lead."""
+    ``verify`` adds the distance d to pairs (a, b), or null where it is surely too far. ``firsts`` adds size and tokens to
+    pairs (lead, item): how many tokens the item has, and the first ``room`` of them in the order by lead."""
     spots = members.select("item", F.explode(F.array_distinct("bands")).alias("bucket"), *_unplaced("pos", "size"))
-    links: list[DataFrame] = []
-    tables: list[DataFrame] = []
-    found: DataFrame | None = None
-    direct: DataFrame | None = None
+    found = direct = None
     for level in range(LEVELS + 1):
-        held = _led(spots, found, level)
+        held, few = _led(spots, found, level)
         pairs = held.where("apart").select(*_ordered("lead", "item"))
-        if direct is not None:
-            pairs = pairs.union(direct)
+        for more in (direct, None if few is None else _direct(few, farthest)):
+            pairs = pairs if more is None else pairs.union(more)
         seen = cut(verify(pairs.distinct()))
-        links.append(seen.where(F.col("d") <= farthest).select("a", "b"))
-        discard(*(x for x in (direct, found) if x is not None))
-        every = links[0]
-        for x in links[1:]:
-            every = every.union(x)
-        found = components(every)
-        tables += [seen]
+        discard(direct, few)
+        before, found = found, _merged(found, seen.where(F.col("d") <= farthest).select("a", "b"))
+        if before is not found:
+            discard(before)
         rows = _open(held, seen, found)
-        discard(held)
-        if rows.isEmpty():
-            discard(rows, *tables)
-            return found
-        few = rows if level == LEVELS else rows.where(F.col("todo") <= MANY)
-        direct = cut(_direct(few, farthest))
-        many = rows.where(F.lit(level < LEVELS) & (F.col("todo") > MANY))
-        told = firsts(many.where("item <> lead").select("lead", "item").distinct()).select("item", "lead", "size", F.posexplode("tokens").alias("pos", "token"))
-        spots = cut(told.select("item", F.xxhash64("lead", "token").alias("bucket"), "pos", "size"))
+        discard(held, seen)
+        split = rows.where(F.lit(level < LEVELS) & (F.col("todo") > MANY))
+        direct = cut(_direct(rows if level == LEVELS else rows.where(F.col("todo") <= MANY), farthest))
+        told = firsts(split.where("item <> lead").select("lead", "item").distinct()).select("item", "lead", "size", F.posexplode("tokens").alias("pos", "token"))
+        if level:
+            discard(spots)
+        spots = None if split.isEmpty() else cut(told.select("item", F.xxhash64("lead", "token").alias("bucket"), "pos", "size"))
         discard(rows)
-        if spots.isEmpty():
-            seen = cut(verify(direct))
-            links.append(seen.where(F.col("d") <= farthest).select("a", "b"))
-            every = every.union(links[-1])
-            done = components(every)
-            discard(direct, found, spots, seen, *tables)
-            return done
-    raise AssertionError("the last level leaves nothing open")
+        if spots is None:
+            break
+    seen = None if direct.isEmpty() else cut(verify(direct))
+    if seen is not None:
+        found = _merged(found, seen.where(F.col("d") <= farthest).select("a", "b"))
+    discard(direct, seen)
+    return found
+
+
+def _merged(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components with more links. Only the links between different ones are worked on."""
+    if found is None:
+        return components(links)
+    name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}2"))
+    named = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select("a", "b", F.coalesce("a2", "a").alias("a2"), F.coalesce("b2", "b").alias("b2")).where("a2 <> b2")
+    named = cut(named)
+    if named.isEmpty():
+        discard(named)
+        return found
+    up = components(named.select(F.col("a2").alias("a"), F.col("b2").alias("b")))
+    every = found.union(named.select("a", "a2").union(named.select("b", "b2"))).distinct()
+    up_to = up.select(F.col("node").alias("component"), F.col("component").alias("up"))
+    out = cut(every.join(up_to, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+    discard(named, up)
+    return out
 
 
 def _unplaced(*names: str) -> list[Column]:
@@ -84,33 +93,40 @@ def _ordered(a: str, b: str) -> tuple[Column, Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _led(spots: DataFrame, found: DataFrame | None, level: int) -> DataFrame:
+def _led(spots: DataFrame, found: DataFrame | None, level: int) -> tuple[DataFrame, DataFrame | None]:
     """Members of the buckets of several, or of several components, with the bucket's leader, and whether they are apart
-    from it, so that a comparison is of use."""
+    from it, so that a comparison is of use. Apart from these, those of buckets that are to be compared directly."""
     if found is None:
         shared = spots.groupBy("bucket").agg(F.min("item").alias("lead"), F.max("item").alias("last")).where("lead <> last").drop("last")
-        return cut(spots.join(shared, "bucket").withColumn("apart", F.col("item") != F.col("lead")))
+        return cut(spots.join(shared, "bucket").withColumn("apart", F.col("item") != F.col("lead"))), None
     named = spots.join(found, spots["item"] == found["node"], "left").select("bucket", "item", "pos", "size", F.coalesce("component", "item").alias("class"))
     rank = F.xxhash64(F.lit(level), "item")
-    shared = named.groupBy("bucket").agg(F.min_by("item", rank).alias("lead"), F.min_by("class", rank).alias("lead_class"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    return cut(named.join(shared, "bucket").withColumn("apart", F.col("class") != F.col("lead_class")).drop("class", "lead_class"))
+    shared = _several(named).join(named.groupBy("bucket").agg(F.min_by("item", rank).alias("lead"), F.min_by("class", rank).alias("lead_class")), "bucket")
+    rows = cut(named.join(shared, "bucket").withColumn("apart", F.col("class") != F.col("lead_class")).drop("lead_class"))
+    few = cut(rows.where(F.col("todo") <= MANY).withColumns({"d": F.lit(None).cast("double"), "lead": F.lit(None).cast("long")}))
+    held = cut(rows.where(F.col("todo") > MANY).drop("class", "main", "todo"))
+    discard(rows)
+    return held, few
+
+
+def _several(named: DataFrame) -> DataFrame:
+    """Buckets that hold several components (class): the largest (main) and how many pairs are of different ones (todo)."""
+    each = named.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+    several = each.groupBy("bucket").agg(F.max_by("class", "n").alias("main"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    return several.select("bucket", "main", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("todo"))
 
 
 def _open(held: DataFrame, seen: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components: with the distance d to the leader, the component (class), the
-    bucket's largest (main) and how many pairs are of different ones (todo)."""
+    """Members of buckets that hold several components, with the distance d to the leader and the component (class)."""
     known = seen.select(F.col("a").alias("u"), F.col("b").alias("v"), "d")
     rows = held.join(found, held["item"] == found["node"], "left").select("bucket", "item", "lead", "pos", "size", F.coalesce("component", "item").alias("class"))
-    each = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-    several = each.groupBy("bucket").agg(F.max_by("class", "n").alias("main"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    several = several.select("bucket", "main", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("todo"))
-    rows = rows.join(several, "bucket").withColumns({"u": F.least("lead", "item"), "v": F.greatest("lead", "item")}).join(known, ["u", "v"], "left").drop("u", "v")
+    rows = rows.join(_several(rows), "bucket").withColumns({"u": F.least("lead", "item"), "v": F.greatest("lead", "item")}).join(known, ["u", "v"], "left").drop("u", "v")
     return cut(rows.withColumn("d", F.when(F.col("item") == F.col("lead"), 0.0).otherwise(F.col("d"))))
 
 
 def _direct(rows: DataFrame, farthest: float) -> DataFrame:
-    """Pairs of different components in a bucket that may be near enough. The leader has been compared already."""
-    rows = rows.where("item <> lead")
+    """Pairs of different components in a bucket that may be near enough. A leader has been compared already."""
+    rows = rows.where("lead is null or item <> lead")
     x, y = rows.where("class <> main").alias("x"), rows.alias("y")
     once = (F.col("y.class") == F.col("y.main")) | (F.col("x.item") < F.col("y.item"))
     near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= farthest, F.lit(True))
