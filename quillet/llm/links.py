@@ -15,14 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.llm.common import components
 from quillet.session import cut, discard
 
-#: Buckets with more pairs to compare are split by tokens; how often at most.
-MANY, LEVELS = 512, 5
+#: Buckets with more pairs to compare are split by tokens; how often at most. Steps of the greatest distance of a link.
+MANY, LEVELS, STEPS = 4096, 4, 4
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -49,7 +49,7 @@ def classes(members: DataFrame, verify: Step, farthest: float, firsts: Step) ->
         before, found = found, _merged(found, seen.where(F.col("d") <= farthest).select("a", "b"))
         if before is not found:
             discard(before)
-        rows = _open(held, seen, found)
+        rows = _open(held, seen, found, farthest)
         discard(held, seen)
         split = rows.where(F.lit(level < LEVELS) & (F.col("todo") > MANY))
         direct = cut(_direct(rows if level == LEVELS else rows.where(F.col("todo") <= MANY), farthest))
@@ -116,12 +116,24 @@ def _several(named: DataFrame) -> DataFrame:
     return several.select("bucket", "main", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("todo"))
 
 
-def _open(held: DataFrame, seen: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with the distance d to the leader and the component (class)."""
+def _open(held: DataFrame, seen: DataFrame, found: DataFrame, farthest: float) -> DataFrame:
+    """Members of buckets that hold several components, with the distance d to the leader and the component (class).
+
+    How many pairs there are to compare (todo) is bounded by counts of members in steps of d as well, since pairs whose
+    distances to the leader differ by too much are none."""
     known = seen.select(F.col("a").alias("u"), F.col("b").alias("v"), "d")
     rows = held.join(found, held["item"] == found["node"], "left").select("bucket", "item", "lead", "pos", "size", F.coalesce("component", "item").alias("class"))
     rows = rows.join(_several(rows), "bucket").withColumns({"u": F.least("lead", "item"), "v": F.greatest("lead", "item")}).join(known, ["u", "v"], "left").drop("u", "v")
-    return cut(rows.withColumn("d", F.when(F.col("item") == F.col("lead"), 0.0).otherwise(F.col("d"))))
+    rows = cut(rows.withColumn("d", F.when(F.col("item") == F.col("lead"), 0.0).otherwise(F.col("d"))))
+    step = F.floor(F.col("d") / (farthest / STEPS)).cast("int")
+    each = rows.groupBy("bucket", step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("class") != F.col("main")).alias("others"))
+    whole = Window.partitionBy("bucket")
+    beside = F.sum("n").over(whole.orderBy("step").rangeBetween(-STEPS - 1, STEPS + 1)) + F.coalesce(F.sum(F.when(F.col("step").isNull(), F.col("n"))).over(whole), F.lit(0))
+    near = each.select("bucket", (F.col("others") * F.when(F.col("step").isNull(), F.sum("n").over(whole)).otherwise(beside)).alias("pairs"))
+    bound = near.groupBy("bucket").agg(F.sum("pairs").alias("bound"))
+    out = cut(rows.join(bound, "bucket").withColumn("todo", F.least("todo", "bound")).drop("bound"))
+    discard(rows)
+    return out
 
 
 def _direct(rows: DataFrame, farthest: float) -> DataFrame:
