@@ -15,6 +15,8 @@ from quillet.session import cut, discard
 #: Words are maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
+#: Rows of two numbers that a join may broadcast: 3 MB.
+LIGHT = 200_000
 
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -57,6 +59,16 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x if x is not None else b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
 
 
+def light(df: DataFrame, most: int = LIGHT) -> DataFrame:
+    """For a join: a table of two numbers a row goes to all executors if its rows are counted and at most ``most``."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def gathered(df: DataFrame, most: int = LIGHT) -> DataFrame:
+    """A table whose rows are counted and at most ``most`` is worked on by one task, without shuffles."""
+    return df.coalesce(1) if df.count() <= most else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Union-find over links (a, b): returns (node, component) for every node with a link, named by the smallest member.
 
@@ -65,26 +77,28 @@ def components(edges: DataFrame) -> DataFrame:
     salted by the round, so chains of any order shrink by a constant part each time. Only minima and joins are needed,
     no group is gathered, and every round is cut into the shared folder."""
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    links = cut(edges.where("a <> b").select(*ordered(F.col("a"), F.col("b"))).distinct())
+    links = cut(edges.where("a <> b").select(*ordered(F.col("a"), F.col("b"))))
     hooks: list[DataFrame] = []
     while not links.isEmpty():
         rank = (lambda c: F.xxhash64(F.lit(len(hooks)), F.col(c))) if hooks else F.col
-        ways = links.union(links.select("b", "a"))
+        near = gathered(links)
+        ways = near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("w")).select("w.a", "w.b")
         best = ways.groupBy("a").agg(F.min(rank("b")).alias("rank"), F.min_by("b", rank("b")).alias("to"))
         hooks.append(cut(best.select(F.col("a").alias("node"), F.when(F.col("rank") < rank("a"), F.col("to")).otherwise(F.col("a")).alias("to"))))
-        left, right = (hooks[-1].select(F.col("node").alias(c), F.col("to").alias(f"{c}2")) for c in "ab")
-        rest = cut(links.join(left, "a").join(right, "b").where("a2 <> b2").select(*ordered(F.col("a2"), F.col("b2"))).distinct())
+        step = light(hooks[-1])
+        left, right = (step.select(F.col("node").alias(c), F.col("to").alias(f"{c}2")) for c in "ab")
+        rest = cut(near.join(left, "a").join(right, "b").where("a2 <> b2").select(*ordered(F.col("a2"), F.col("b2"))).distinct())
         discard(links)
         links = rest
     if not hooks:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     held = hooks[0]
     for h in hooks[1:]:
-        held = held.join(h.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+        held = held.join(light(h).select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
     held = cut(held)
-    names = held.groupBy("to").agg(F.min("node").alias("component"))
-    out = cut(held.join(names, "to").select("node", "component"))
-    discard(links, held, *hooks)
+    names = cut(gathered(held).groupBy("to").agg(F.min("node").alias("component")))
+    out = cut(held.join(light(names), "to").select("node", "component"))
+    discard(links, held, names, *hooks)
     return out
 
 

@@ -1,11 +1,12 @@
 """From candidate buckets to the links that matter, without all pairs of a bucket.
 
-Every bucket first compares its members with one leader. Buckets whose members are in one component then are done. In
-the others, members of different components remain to be compared, if the triangle inequality by the leader allows a
-link. Where those pairs are few they are compared directly, two by two. Where they are many, the bucket is split by tokens: all its
-members order their tokens alike, those that the leader lacks first, and keep the first few of them; two sets that are
-near enough share one of these, whatever the order, so no link is lost, and what made the bucket large, which the leader
-has too, comes last. The parts are buckets like others, with new leaders, and so on. After ``LEVELS`` levels what is
+Every bucket first compares its members with one leader, and where much is left, with a second one, the member nearest
+to the first. Buckets whose members are in one component then are done. In the others, members of different components
+remain to be compared, if the triangle inequality by the leader allows a link. Where those pairs are few they are
+compared directly, two by two. Where they are many, the bucket is split by tokens: all its members order their tokens
+alike, rare ones that the leader lacks first, and keep the first few of them; two sets that are near enough share one of
+these, whatever the order, so no link is lost, and what made the bucket large comes last. The parts are buckets like
+others, with new leaders, and so on. After ``LEVELS`` levels what is
 left is compared directly, so every pair of a bucket is compared, or in one component already, or too far apart.
 
 Distances are Jaccard distances of sets, or of multisets taken as sets of numbered tokens.
@@ -18,11 +19,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillet.llm.common import components
+from quillet.llm.common import components, gathered, light
 from quillet.session import cut, discard
 
 #: Buckets with more pairs to compare are split by tokens; how often at most. Steps of the greatest distance of a link.
-MANY, LEVELS, STEPS = 4096, 4, 4
+MANY, LEVELS, STEPS = 4096, 2, 4
+#: How many common tokens come last in the order of tokens.
+COMMON = 4096
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -32,15 +35,16 @@ def room(size: Column, similarity: float) -> Column:
     return (size - F.ceil(size * similarity - 1e-9) + 1).cast("int")
 
 
-def classes(members: DataFrame, verify: Step, farthest: float, firsts: Step) -> DataFrame:
+def classes(members: DataFrame, verify: Step, farthest: float, sets: Step, firsts: Callable[[DataFrame, list[int]], DataFrame]) -> DataFrame:
     """(node, component) over members (item, bands) that have a link; a band is a number that names it and its content.
 
-    ``verify`` adds the distance d to pairs (a, b), or null where it is surely too far. ``firsts`` adds size and tokens to
-    pairs (lead, item): how many tokens the item has, and the first ``room`` of them in the order by lead."""
+    ``verify`` adds the distance d to pairs (a, b), or null where it is surely too far. ``sets`` adds tokens to items
+    (item). ``firsts`` adds size and tokens to pairs (lead, item): how many tokens the item has, and the first ``room`` of
+    them, where those in a given list come last, and before them those that the leader has."""
     spots = members.select("item", F.explode(F.array_distinct("bands")).alias("bucket"), *_unplaced("pos", "size"))
-    found = direct = None
+    found = direct = few = None
+    held = _first_led(spots)
     for level in range(LEVELS + 1):
-        held, few = _led(spots, found, level)
         pairs = held.where("apart").select(*_ordered("lead", "item"))
         for more in (direct, None if few is None else _direct(few, farthest)):
             pairs = pairs if more is None else pairs.union(more)
@@ -49,17 +53,24 @@ def classes(members: DataFrame, verify: Step, farthest: float, firsts: Step) ->
         before, found = found, _merged(found, seen.where(F.col("d") <= farthest).select("a", "b"))
         if before is not found:
             discard(before)
-        rows = _open(held, seen, found, farthest)
+        rows = _open(gathered(held), seen, light(found), farthest)
         discard(held, seen)
-        split = rows.where(F.lit(level < LEVELS) & (F.col("todo") > MANY))
-        direct = cut(_direct(rows if level == LEVELS else rows.where(F.col("todo") <= MANY), farthest))
-        told = firsts(split.where("item <> lead").select("lead", "item").distinct()).select("item", "lead", "size", F.posexplode("tokens").alias("pos", "token"))
-        if level:
-            discard(spots)
-        spots = None if split.isEmpty() else cut(told.select("item", F.xxhash64("lead", "token").alias("bucket"), "pos", "size"))
-        discard(rows)
-        if spots is None:
+        near = gathered(rows)
+        direct = cut(_direct(near if level == LEVELS else near.where(F.col("todo") <= MANY), farthest))
+        many = near.where(F.lit(level < LEVELS) & (F.col("todo") > MANY))
+        if many.isEmpty():
+            discard(rows)
             break
+        if level == 0:
+            held = _nearest_led(many)
+        else:
+            told = firsts(many.where("item <> lead").select("lead", "item").distinct(), _common(sets(many.select("item").distinct()))).select("item", "lead", "size", F.posexplode("tokens").alias("pos", "token"))
+            every = cut(told.select("item", F.xxhash64("lead", "token").alias("bucket"), "pos", "size"))
+            shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(_short(farthest)).alias("short")).where("n > 1 and short").select("bucket")
+            spots = cut(every.join(shared, "bucket", "left_semi"))
+            held, few = _led(spots, light(found), level, farthest)
+            discard(every, spots)
+        discard(rows)
     seen = None if direct.isEmpty() else cut(verify(direct))
     if seen is not None:
         found = _merged(found, seen.where(F.col("d") <= farthest).select("a", "b"))
@@ -67,11 +78,18 @@ def classes(members: DataFrame, verify: Step, farthest: float, firsts: Step) ->
     return found
 
 
+def _common(held: DataFrame) -> list[int]:
+    """The tokens that most of these sets hold, ``COMMON`` at most. They set an order only: any list gives all links."""
+    counts = held.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return [r.token for r in counts.where("n > 8").orderBy(F.desc("n"), "token").limit(COMMON).collect()]
+
+
 def _merged(found: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components with more links. Only the links between different ones are worked on."""
     if found is None:
         return components(links)
-    name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}2"))
+    known = light(found)
+    name = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}2"))
     named = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select("a", "b", F.coalesce("a2", "a").alias("a2"), F.coalesce("b2", "b").alias("b2")).where("a2 <> b2")
     named = cut(named)
     if named.isEmpty():
@@ -79,7 +97,7 @@ def _merged(found: DataFrame | None, links: DataFrame) -> DataFrame:
         return found
     up = components(named.select(F.col("a2").alias("a"), F.col("b2").alias("b")))
     every = found.union(named.select("a", "a2").union(named.select("b", "b2"))).distinct()
-    up_to = up.select(F.col("node").alias("component"), F.col("component").alias("up"))
+    up_to = light(up).select(F.col("node").alias("component"), F.col("component").alias("up"))
     out = cut(every.join(up_to, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
     discard(named, up)
     return out
@@ -93,27 +111,52 @@ def _ordered(a: str, b: str) -> tuple[Column, Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _led(spots: DataFrame, found: DataFrame | None, level: int) -> tuple[DataFrame, DataFrame | None]:
-    """Members of the buckets of several, or of several components, with the bucket's leader, and whether they are apart
-    from it, so that a comparison is of use. Apart from these, those of buckets that are to be compared directly."""
-    if found is None:
-        shared = spots.groupBy("bucket").agg(F.min("item").alias("lead"), F.max("item").alias("last")).where("lead <> last").drop("last")
-        return cut(spots.join(shared, "bucket").withColumn("apart", F.col("item") != F.col("lead"))), None
+def _first_led(spots: DataFrame) -> DataFrame:
+    """Members of the buckets of several, with the bucket's leader, and whether they are apart from it, so that a
+    comparison is of use."""
+    shared = spots.groupBy("bucket").agg(F.min("item").alias("lead"), F.max("item").alias("last")).where("lead <> last").drop("last")
+    return cut(spots.join(shared, "bucket").withColumn("apart", F.col("item") != F.col("lead")))
+
+
+def _nearest_led(many: DataFrame) -> DataFrame:
+    """The same buckets, led by the member nearest to the first leader: in a group of near copies that tends to be the
+    middle, which all others are near to."""
+    rank = F.coalesce("d", F.lit(2.0))
+    nearest = many.where("item <> lead").groupBy("bucket").agg(F.min_by("item", rank).alias("next"), F.min_by("class", rank).alias("next_class"))
+    rows = many.join(nearest, "bucket")
+    return cut(rows.select("bucket", "item", "pos", "size", F.col("next").alias("lead"), (F.col("class") != F.col("next_class")).alias("apart")))
+
+
+def _short(farthest: float) -> Column:
+    """Whether the smaller of two near sets can have its first common token at this place. Of any two one must."""
+    return F.coalesce(F.col("pos") <= F.col("size") * (farthest / (2 - farthest)) + 1e-9, F.lit(True))
+
+
+def _enough(x: str, y: str, farthest: float) -> Column:
+    """The first token that two sets share leaves room for as many as they must share."""
+    left = F.least(F.col(f"{x}size") - F.col(f"{x}pos"), F.col(f"{y}size") - F.col(f"{y}pos"))
+    return F.coalesce(left >= (1 - farthest) / (2 - farthest) * (F.col(f"{x}size") + F.col(f"{y}size")) - 1e-9, F.lit(True))
+
+
+def _led(spots: DataFrame, found: DataFrame, level: int, farthest: float) -> tuple[DataFrame, DataFrame]:
+    """Members of the buckets of several components, with a leader; and apart from these, members of buckets with few
+    pairs, which are to be compared directly."""
     named = spots.join(found, spots["item"] == found["node"], "left").select("bucket", "item", "pos", "size", F.coalesce("component", "item").alias("class"))
     rank = F.xxhash64(F.lit(level), "item")
-    shared = _several(named).join(named.groupBy("bucket").agg(F.min_by("item", rank).alias("lead"), F.min_by("class", rank).alias("lead_class")), "bucket")
-    rows = cut(named.join(shared, "bucket").withColumn("apart", F.col("class") != F.col("lead_class")).drop("lead_class"))
+    led = named.groupBy("bucket").agg(*[F.min_by(c, rank).alias(f"lead{n}") for c, n in (("item", ""), ("class", "_class"), ("pos", "_pos"), ("size", "_size"))])
+    rows = named.join(_several(named, farthest).join(led, "bucket"), "bucket")
+    rows = cut(rows.withColumn("apart", (F.col("class") != F.col("lead_class")) & _enough("", "lead_", farthest)).drop("lead_class", "lead_pos", "lead_size"))
     few = cut(rows.where(F.col("todo") <= MANY).withColumns({"d": F.lit(None).cast("double"), "lead": F.lit(None).cast("long")}))
     held = cut(rows.where(F.col("todo") > MANY).drop("class", "main", "todo"))
     discard(rows)
     return held, few
 
 
-def _several(named: DataFrame) -> DataFrame:
+def _several(named: DataFrame, farthest: float) -> DataFrame:
     """Buckets that hold several components (class): the largest (main) and how many pairs are of different ones (todo)."""
-    each = named.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-    several = each.groupBy("bucket").agg(F.max_by("class", "n").alias("main"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    return several.select("bucket", "main", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("todo"))
+    each = named.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.count_if(_short(farthest)).alias("shorts"))
+    several = each.groupBy("bucket").agg(F.max_by("class", "n").alias("main"), F.sum("n").alias("n"), F.sum("shorts").alias("shorts"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("classes")).where("classes > 1 and shorts > 0")
+    return several.select("bucket", "main", F.least((F.col("n") * F.col("n") - F.col("squares")) / 2, F.col("shorts") * F.col("n")).alias("todo"))
 
 
 def _open(held: DataFrame, seen: DataFrame, found: DataFrame, farthest: float) -> DataFrame:
@@ -123,15 +166,16 @@ def _open(held: DataFrame, seen: DataFrame, found: DataFrame, farthest: float) -
     distances to the leader differ by too much are none."""
     known = seen.select(F.col("a").alias("u"), F.col("b").alias("v"), "d")
     rows = held.join(found, held["item"] == found["node"], "left").select("bucket", "item", "lead", "pos", "size", F.coalesce("component", "item").alias("class"))
-    rows = rows.join(_several(rows), "bucket").withColumns({"u": F.least("lead", "item"), "v": F.greatest("lead", "item")}).join(known, ["u", "v"], "left").drop("u", "v")
+    rows = rows.join(_several(rows, farthest), "bucket").withColumns({"u": F.least("lead", "item"), "v": F.greatest("lead", "item")}).join(known, ["u", "v"], "left").drop("u", "v")
     rows = cut(rows.withColumn("d", F.when(F.col("item") == F.col("lead"), 0.0).otherwise(F.col("d"))))
+    known = gathered(rows)
     step = F.floor(F.col("d") / (farthest / STEPS)).cast("int")
-    each = rows.groupBy("bucket", step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("class") != F.col("main")).alias("others"))
+    each = known.groupBy("bucket", step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("class") != F.col("main")).alias("others"))
     whole = Window.partitionBy("bucket")
     beside = F.sum("n").over(whole.orderBy("step").rangeBetween(-STEPS - 1, STEPS + 1)) + F.coalesce(F.sum(F.when(F.col("step").isNull(), F.col("n"))).over(whole), F.lit(0))
     near = each.select("bucket", (F.col("others") * F.when(F.col("step").isNull(), F.sum("n").over(whole)).otherwise(beside)).alias("pairs"))
     bound = near.groupBy("bucket").agg(F.sum("pairs").alias("bound"))
-    out = cut(rows.join(bound, "bucket").withColumn("todo", F.least("todo", "bound")).drop("bound"))
+    out = cut(known.join(bound, "bucket").withColumn("todo", F.least("todo", "bound")).drop("bound"))
     discard(rows)
     return out
 
@@ -142,8 +186,5 @@ def _direct(rows: DataFrame, farthest: float) -> DataFrame:
     x, y = rows.where("class <> main").alias("x"), rows.alias("y")
     once = (F.col("y.class") == F.col("y.main")) | (F.col("x.item") < F.col("y.item"))
     near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= farthest, F.lit(True))
-    # the first token that two sets share leaves room for as many as they must share
-    left = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    enough = F.coalesce(left >= (1 - farthest) / (2 - farthest) * (F.col("x.size") + F.col("y.size")) - 1e-9, F.lit(True))
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class")) & once & near & enough)
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class")) & once & near & _enough("x.", "y.", farthest))
     return pairs.select(*_ordered("x.item", "y.item")).distinct()

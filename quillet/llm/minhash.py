@@ -158,24 +158,30 @@ def distance(batch: pa.RecordBatch, width: int = WIDTH) -> np.ndarray:
     return out
 
 
-def first_tokens(leads: list[bytes], own: list[bytes], similarity: float, width: int = WIDTH) -> tuple[pa.Array, pa.Array]:
-    """For each text its number of tokens and the first ``links.room`` of them, those first that its leader lacks."""
-    index: dict[bytes, int] = {}
-    pairs = [(index.setdefault(x, len(index)), index.setdefault(y, len(index))) for x, y in zip(leads, own, strict=True)]
-    key, owner, weight = multisets(list(index), width)
+def tokens(own: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Sets whose similarity is the weighted one: a shingle of weight w is w tokens. In order, and where each text's end."""
+    key, owner, weight = multisets(own, width)
     layers = weight.astype(np.int64)
     at = np.repeat(np.arange(len(key)), layers)
     layer = np.arange(len(at)) - np.repeat(np.cumsum(layers) - layers, layers)
     token, owner = mixed(key[at] ^ (layer.astype(np.uint64) * _ODD)).view(np.int64), owner[at]
-    order = np.lexsort((token, owner))
-    token, ends = token[order], np.cumsum(np.bincount(owner, minlength=len(index)))
-    of = lambda i: token[ends[i - 1] if i else 0 : ends[i]]
+    return token[np.lexsort((token, owner))], np.cumsum(np.bincount(owner, minlength=len(own)))
+
+
+def first_tokens(leads: list[bytes], own: list[bytes], common: np.ndarray, similarity: float, width: int = WIDTH) -> tuple[pa.Array, pa.Array]:
+    """For each text its number of tokens and the first ``links.room`` of them, last those in ``common``, which is
+    sorted, and before them those that its leader has."""
+    index: dict[bytes, int] = {}
+    pairs = [(index.setdefault(x, len(index)), index.setdefault(y, len(index))) for x, y in zip(leads, own, strict=True)]
+    token, ends = tokens(list(index), width)
+    late = np.zeros(len(token), np.int8) if not len(common) else 2 * (common[np.minimum(np.searchsorted(common, token), len(common) - 1)] == token).astype(np.int8)
+    of = lambda x, i: x[ends[i - 1] if i else 0 : ends[i]]
     out, sizes = [], []
     for x, y in pairs:
-        mine = of(y)
-        common = np.isin(mine, of(x), assume_unique=True)
+        mine = of(token, y)
+        rank = of(late, y) + np.isin(mine, of(token, x), assume_unique=True)
         sizes.append(len(mine))
-        out.append(np.concatenate([mine[~common], mine[common]])[: len(mine) - int(np.ceil(len(mine) * similarity - 1e-9)) + 1])
+        out.append(mine[np.argsort(rank, kind="stable")][: len(mine) - int(np.ceil(len(mine) * similarity - 1e-9)) + 1])
     offsets = np.append(0, np.cumsum([len(x) for x in out])).astype(np.int32)
     return pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
 
@@ -207,19 +213,28 @@ def _named(docs: DataFrame, similarity: float, bands: int, rows: int, width: int
 
         return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, d double")
 
-    def firsts(pairs: DataFrame) -> DataFrame:
-        """A shingle of weight w is w tokens, so the sets' similarity is the weighted one."""
+    def sets(wanted: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for s in slices(batches):
+                found, ends = tokens(texts(s), width)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(found))
+                yield pa.RecordBatch.from_arrays([s.column("item"), lists], names=["item", "tokens"])
+
+        return wanted.join(texts_of[0], "item").select("item", "text").mapInArrow(run, "item long, tokens array<long>")
+
+    def firsts(pairs: DataFrame, common: list[int]) -> DataFrame:
+        late = np.sort(np.array(common, np.int64))
         held = texts_of[0]
         both = pairs.join(held.select(F.col("item").alias("lead"), F.col("text").alias("ta")), "lead").join(held.withColumnRenamed("text", "tb"), "item")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in slices(batches, "tb"):
-                sizes, lists = first_tokens(texts(s, "ta"), texts(s, "tb"), similarity, width)
+                sizes, lists = first_tokens(texts(s, "ta"), texts(s, "tb"), late, similarity, width)
                 yield pa.RecordBatch.from_arrays([s.column("lead"), s.column("item"), sizes, lists], names=["lead", "item", "size", "tokens"])
 
         return both.select("lead", "item", "ta", "tb").mapInArrow(run, "lead long, item long, size int, tokens array<long>")
 
-    found = classes(members, verify, 1 - similarity + 1e-12, firsts)
+    found = classes(members, verify, 1 - similarity + 1e-12, sets, firsts)
     named = cut(items.join(found, items["item"] == found["node"], "left").where("bands is not null").select("h1", "h2", "rep", F.coalesce("component", "item").alias("class")))
     discard(items, found, *texts_of)
     return each, named
