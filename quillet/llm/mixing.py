@@ -6,7 +6,9 @@ target / words copies. Their prefix sum runs over the documents in order of size
 source, and a document is taken once for each whole number its own stretch crosses. In order of size the words taken
 stay within about one longest document of the target.
 
-A null or empty text has size 0 and is placed like any other. Rows that repeat are separate documents. All random
+A null or empty text has size 0 and is placed like any other, a very long one too: it is taken whole or not at all. Rows
+that repeat, or share an id, are separate documents. An empty table gives an empty mix. Other columns pass through
+``emit``, whatever their names. All random
 numbers are hashes of ``seed``, the source and the row, so reruns agree.
 """
 
@@ -49,12 +51,13 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     return rows.select("source", "source_size", F.when(F.col("over"), F.col("cap")).otherwise(F.least(F.coalesce(free, F.lit(0.0)) * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11, ties: int = 512) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken (= copies x size) for every document.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11, ties: int = 512, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken (= copies x size) for every document, and the
+    columns in ``also``.
 
     Documents of one source and size are ordered in ``ties`` separate hash groups, whose lengths are summed first: no
     task orders a whole source, and equal sizes, however many, spread over the groups."""
-    rows = cut(pick(docs, "doc_id", "source", "text").select("doc_id", "source", sizes(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("tie")))
+    rows = cut(pick(docs, "doc_id", "source", "text", *also).select(*also, "doc_id", "source", sizes(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("tie")))
     rows = rows.withColumn("part", F.pmod(F.col("tie"), F.lit(ties)))
     goal = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     groups = rows.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -67,18 +70,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     groups = groups.join(by_size, groups.source.eqNullSafe(by_size.s) & (F.col("size") == F.col("z"))).select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p"), (F.col("under") + F.col("within")).alias("ahead"))
     place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("tie", "doc_id"))
     rows = rows.select("*", place.alias("place"))
-    rows = rows.join(groups, rows.source.eqNullSafe(groups.s) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p"))).select("doc_id", "source", "size", (F.col("ahead") + F.col("place")).alias("rank"))
+    rows = rows.join(groups, rows.source.eqNullSafe(groups.s) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p"))).select(*also, "doc_id", "source", "size", (F.col("ahead") + F.col("place")).alias("rank"))
     goal = goal.withColumnRenamed("source", "s")
     rows = rows.join(goal, rows.source.eqNullSafe(F.col("s")))
     offset = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull()), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = F.floor(each * F.col("rank") + offset) - F.floor(each * (F.col("rank") - 1) + offset)
     copies = F.least(F.greatest(crossed, F.lit(0)), F.lit(most)).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return rows.select(*also, "doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11) -> DataFrame:
-    """The mix itself: each document's row as often as it is taken. A doc_id must name one row."""
-    copies = mix(docs, weights, most, seed).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return out.select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("taken_copy")).drop("taken_copy")
+    """The mix itself: each row as often as it is taken. Rows are numbered first, so ids may repeat or be null."""
+    row, times, copy = (fresh(docs, name) for name in ("row", "times", "copy"))
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    taken = mix(rows, weights, most, seed, also=(row,)).where("copies > 0").select(row, F.col("copies").alias(times))
+    out = rows.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

@@ -29,7 +29,7 @@ def odd(spark):
     """More columns, named as operators might name their own."""
     from pyspark.sql import functions as F
 
-    names = ["size", "target", "rank", "part", "tie", "kept", "node", "component", "a", "b", "copies", "place", "length", "n", "key", "sequence_id", "ahead", "n_words"]
+    names = ["size", "target", "rank", "part", "tie", "kept", "node", "component", "a", "b", "copies", "place", "length", "n", "key", "sequence_id", "ahead", "n_words", "dropped", "taken_id", "taken_copy", "row", "told", "times", "of", "item"]
     return docs(spark).select("*", *[F.lit("clash").alias(n) for n in names])
 
 

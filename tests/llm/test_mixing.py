@@ -66,6 +66,20 @@ def test_emit(spark):
     assert out.count() == mixing.mix(df).agg({"copies": "sum"}).first()[0]
 
 
+@pytest.mark.parametrize("make", [data.docs, data.odd, data.empty])
+def test_emit_by_row(spark, make):
+    """Equal rows, repeated and null ids: as many rows as are taken, and no column lost."""
+    df = make(spark)
+    df = df.union(df.where("doc_id = 2")).union(df.where("doc_id = 2")).union(df.where("doc_id is null"))
+    out = mixing.emit(df)
+    taken, rows = mixing.mix(df).collect(), out.collect()
+    assert out.columns == df.columns and len(rows) == sum(r.copies for r in taken)
+    each = defaultdict(int)
+    for r in taken:
+        each[r.doc_id] += r.copies
+    assert {i: sum(r.doc_id == i for r in rows) for i in each} == each
+
+
 def test_query(spark):
     rows = QUERIES["op3_mixing"](spark, "/root/testdata/sf0.001")
     assert rows.columns == ["doc_id", "size", "source_size", "target", "taken"]
