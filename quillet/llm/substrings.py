@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillet.llm.common import mixed, parted, pick, powers, slices, texts
-from quillet.session import cut
+from quillet.session import cut, discard
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM  # how far a string that holds an anchor can start before it
@@ -132,7 +132,7 @@ def covered(docs: DataFrame, copies: DataFrame) -> DataFrame:
         keep = np.repeat(d[first] != d[first + size - 1], size)
         return pd.DataFrame({"bucket": f["bucket"].iloc[0], "anchor": a[keep].astype(np.int64), "doc": d[keep], "part": part[keep], "pos": at[keep]})
 
-    spots = docs.select("doc", "part", "text").mapInArrow(find, "bucket long, packed binary").groupBy("bucket").applyInPandas(several, "bucket long, anchor long, doc long, part long, pos long")
+    spots = cut(docs.select("doc", "part", "text").mapInArrow(find, "bucket long, packed binary").groupBy("bucket").applyInPandas(several, "bucket long, anchor long, doc long, part long, pos long"))
     places = spots.groupBy("doc", "part").agg(F.collect_list(F.struct("bucket", "anchor", "pos")).alias("places")).join(copies, ["doc", "part"], "left_anti")
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,9 @@ def covered(docs: DataFrame, copies: DataFrame) -> DataFrame:
 
     around = places.join(_deflated(docs), ["doc", "part"]).select("doc", "part", "deflated", "places").mapInArrow(context, "bucket long, packed binary")
     spans = around.groupBy("bucket").applyInPandas(earlier, "doc long, part long, start long, end long")
-    return spans.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    out = cut(spans.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    discard(spots)
+    return out
 
 
 def earlier(f: pd.DataFrame) -> pd.DataFrame:
@@ -209,7 +211,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = rows.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), "part", "text")
     names = rows.select("doc", "part", F.xxhash64(F.lit(1), "text").alias("h1"), F.xxhash64("text", F.lit(2)).alias("h2"))
     copies = cut(names.join(names.groupBy("h1", "h2").agg(F.min("doc").alias("first")), ["h1", "h2"]).where("doc > first").select("doc", "part").distinct())
-    spans = cut(covered(rows, copies))
+    spans = covered(rows, copies)
     fates = spans.select("doc", "part", "spans", F.lit(False).alias("copy")).union(copies.select("doc", "part", F.lit(None).cast(spans.schema["spans"].dataType), F.lit(True)))
     # a null doc_id is the number _FIRST and goes back to null
     joined = _deflated(rows).join(fates, ["doc", "part"], "left").select(F.when(F.col("doc") != _FIRST, F.col("doc")).alias("doc_id"), "deflated", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
