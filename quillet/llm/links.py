@@ -40,7 +40,7 @@ def classes(members: DataFrame, verify: Step, farthest: float, sets: Step, first
 
     ``verify`` adds the distance d to pairs (a, b), or null where it is surely too far. ``sets`` adds tokens to items
     (item). ``firsts`` adds size and tokens to pairs (lead, item): how many tokens the item has, and the first ``room`` of
-    them, where those in a given list come last, and before them those that the leader has."""
+    them, where those in a given list come last and in its order, and before them those that the leader has."""
     spots = members.select("item", F.explode(F.array_distinct("bands")).alias("bucket"), *_unplaced("pos", "size"))
     found = direct = few = None
     held = _first_led(spots)
@@ -79,9 +79,10 @@ def classes(members: DataFrame, verify: Step, farthest: float, sets: Step, first
 
 
 def _common(held: DataFrame) -> list[int]:
-    """The tokens that most of these sets hold, ``COMMON`` at most. They set an order only: any list gives all links."""
+    """The tokens that most of these sets hold, ``COMMON`` at most, the rarest first. They set an order only: any list
+    gives all links."""
     counts = held.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    return [r.token for r in counts.where("n > 8").orderBy(F.desc("n"), "token").limit(COMMON).collect()]
+    return [r.token for r in counts.where("n > 2").orderBy(F.desc("n"), "token").limit(COMMON).collect()][::-1]
 
 
 def _merged(found: DataFrame | None, links: DataFrame) -> DataFrame:

@@ -169,17 +169,21 @@ def tokens(own: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray
 
 
 def first_tokens(leads: list[bytes], own: list[bytes], common: np.ndarray, similarity: float, width: int = WIDTH) -> tuple[pa.Array, pa.Array]:
-    """For each text its number of tokens and the first ``links.room`` of them, last those in ``common``, which is
-    sorted, and before them those that its leader has."""
+    """For each text its number of tokens and the first ``links.room`` of them, last those in ``common``, in its
+    order, and before them those that its leader has."""
     index: dict[bytes, int] = {}
     pairs = [(index.setdefault(x, len(index)), index.setdefault(y, len(index))) for x, y in zip(leads, own, strict=True)]
     token, ends = tokens(list(index), width)
-    late = np.zeros(len(token), np.int8) if not len(common) else 2 * (common[np.minimum(np.searchsorted(common, token), len(common) - 1)] == token).astype(np.int8)
+    late = np.zeros(len(token), np.int64)
+    if len(common):
+        place = np.argsort(common)
+        at = place[np.minimum(np.searchsorted(common, token, sorter=place), len(common) - 1)]
+        late = np.where(common[at] == token, at + 2, 0)
     of = lambda x, i: x[ends[i - 1] if i else 0 : ends[i]]
     out, sizes = [], []
     for x, y in pairs:
         mine = of(token, y)
-        rank = of(late, y) + np.isin(mine, of(token, x), assume_unique=True)
+        rank = np.maximum(of(late, y), np.isin(mine, of(token, x), assume_unique=True))
         sizes.append(len(mine))
         out.append(mine[np.argsort(rank, kind="stable")][: len(mine) - int(np.ceil(len(mine) * similarity - 1e-9)) + 1])
     offsets = np.append(0, np.cumsum([len(x) for x in out])).astype(np.int32)
@@ -223,7 +227,7 @@ def _named(docs: DataFrame, similarity: float, bands: int, rows: int, width: int
         return wanted.join(texts_of[0], "item").select("item", "text").mapInArrow(run, "item long, tokens array<long>")
 
     def firsts(pairs: DataFrame, common: list[int]) -> DataFrame:
-        late = np.sort(np.array(common, np.int64))
+        late = np.array(common, np.int64)
         held = texts_of[0]
         both = pairs.join(held.select(F.col("item").alias("lead"), F.col("text").alias("ta")), "lead").join(held.withColumnRenamed("text", "tb"), "item")
 
