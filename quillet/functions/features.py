@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillet.operators.paths import quoted
 from quillet.plans.schema import ExampleSchema, FeatureType, Field, Repetition
 
 FEATURE = T.StructType([T.StructField(k.list_member, T.ArrayType(k.spark)) for k in FeatureType])
@@ -23,17 +24,13 @@ def _null(kind: FeatureType) -> Column:
     return F.lit(None).cast(T.ArrayType(kind.spark))
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def feature_list(df: DataFrame, field: Field) -> Column:
     """The feature's values of the schema's kind as an array; values of another kind don't count."""
     if is_map_form(df):
         return F.element_at(F.col("features"), F.lit(field.name)).getField(field.type.list_member)
     if field.name not in df.columns:
         return _null(field.type)
-    col, dtype = _quoted(field.name), df.schema[field.name].dataType
+    col, dtype = quoted(field.name), df.schema[field.name].dataType
     if isinstance(dtype, T.ArrayType):
         return col if dtype.elementType == field.type.spark else _null(field.type)
     return F.when(col.isNotNull(), F.array(col)) if dtype == field.type.spark else _null(field.type)

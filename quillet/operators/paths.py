@@ -5,8 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Metadata key of the columns that stand for a union's branches, with the branch's number.
+BRANCH = "union_branch"
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def is_union(struct: T.StructType) -> bool:
+    return bool(struct.fields) and all(BRANCH in (f.metadata or {}) for f in struct.fields)
+
 
 class RecordPath:
     """Stands for a record in a projection lambda; remembers the fields taken. Indexes into arrays leave no segment."""

@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillet.operators.paths import field_of
+from quillet.operators.paths import field_of, quoted
 
 _FLIPPED = {"gt": "lt", "lt": "gt", "ge": "le", "le": "ge", "eq": "eq", "ne": "ne"}
 _INTEGERS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
@@ -83,9 +83,12 @@ class Node:
 
     __pos__ = __abs__ = __neg__
 
+    def _unsupported(self, *_: Any) -> Any:
+        raise ValueError("Unsupported operator type: only comparisons of a field with a value are")
 
-def _unsupported(*_: Any) -> Any:
-    raise ValueError("Unsupported operator type: only comparisons of a field with a value are")
+    __add__ = __radd__ = __sub__ = __rsub__ = __mul__ = __rmul__ = __truediv__ = __rtruediv__ = _unsupported
+    __floordiv__ = __rfloordiv__ = __mod__ = __rmod__ = __divmod__ = __rdivmod__ = __pow__ = __rpow__ = _unsupported
+    __lshift__ = __rlshift__ = __rshift__ = __rrshift__ = __xor__ = __rxor__ = __matmul__ = __rmatmul__ = __contains__ = _unsupported
 
 
 class Ref(Node):
@@ -128,8 +131,6 @@ class Ref(Node):
     def __ne__(self, v: Any) -> Node:  # type: ignore[override]
         return _compare("ne", self, v)
 
-    __add__ = __radd__ = __sub__ = __rsub__ = __mul__ = __rmul__ = __truediv__ = __rtruediv__ = __mod__ = __contains__ = _unsupported
-
     def __and__(self, other: Any) -> Node:
         return _condition(self) & other
 
@@ -142,7 +143,7 @@ class Ref(Node):
         return ~_condition(self)
 
     def column(self) -> Column:
-        out = F.col(f"`{self._path[0]}`")
+        out = quoted(self._path[0])
         for step in self._path[1:]:
             out = F.get(out, F.lit(step)) if isinstance(step, int) else out.getField(step)
         return out

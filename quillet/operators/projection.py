@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillet.operators.paths import path_of
+from quillet.operators.paths import is_union, path_of, quoted
 
 
 def project(struct: T.StructType, *paths: str) -> T.StructType:
@@ -32,13 +32,25 @@ def _pruned(struct: T.StructType, paths: list[tuple[str, ...]]) -> list[T.Struct
 
 def _descend(parent: str, dtype: T.DataType, below: list[tuple[str, ...]]) -> T.DataType:
     if isinstance(dtype, T.StructType):
-        return T.StructType(_pruned(dtype, below))
+        return _branches(parent, dtype, below) if is_union(dtype) else T.StructType(_pruned(dtype, below))
     if isinstance(dtype, T.ArrayType):
         return T.ArrayType(_descend(parent, dtype.elementType, below), dtype.containsNull)
     children = ", ".join(".".join(p) for p in below)
     raise TypeError(f"Projection doesn't support schema type {parent}:{dtype.typeName().upper()} with fields: {children}")
 
 
+def _branches(parent: str, union: T.StructType, below: list[tuple[str, ...]]) -> T.StructType:
+    """A path through a union prunes each of its branches; one that names a branch prunes that branch alone."""
+    out = []
+    for branch in union.fields:
+        own = [p[1:] for p in below if p[0] == branch.name] + [p for p in below if p[0] not in union.names]
+        if () in own:
+            out.append(branch)
+        elif own:
+            out.append(T.StructField(branch.name, _descend(parent, branch.dataType, own), branch.nullable, branch.metadata))
+    return T.StructType(out)
+
+
 class Projection:
     """``Projection(struct, lambda r: r.email, lambda r: r.accounts[0].amount)``; ``schema`` is the pruned schema."""
 
@@ -58,7 +70,7 @@ class Projection:
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Prunes a DataFrame already read; ``read`` is what prunes a file scan through arrays."""
-        return df.select(*[_cut(F.col(f"`{f.name}`"), df.schema[f.name].dataType, f.dataType).alias(f.name) for f in self.schema.fields])
+        return df.select(*[_cut(quoted(f.name), df.schema[f.name].dataType, f.dataType).alias(f.name) for f in self.schema.fields])
 
 
 def _cut(col: Column, was: T.DataType, to: T.DataType) -> Column:

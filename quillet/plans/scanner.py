@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillet.functions.features import is_map_form
+from quillet.functions.features import FEATURE, is_map_form
 from quillet.plans.schema import ExampleSchema, FeatureType, Field, Repetition
 
 
@@ -29,17 +29,22 @@ def _in_map_form(df: DataFrame, name: str) -> ExampleSchema:
     lists = {k: F.col("value").getField(k.list_member) for k in FeatureType}
     kinds = F.filter(F.array(*[F.when(c.isNotNull(), F.lit(k.name)) for k, c in lists.items()]), lambda x: x.isNotNull())
     size: Column = F.greatest(*[F.when(c.isNotNull(), F.size(c)).otherwise(0) for c in lists.values()])
-    total = df.count()
+    # each row has one entry more, without a name, so that the same pass counts the rows
+    nameless = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast(FEATURE).alias("value")))
+    entries = F.when(F.col("features").isNull(), nameless).otherwise(F.concat(F.map_entries("features"), nameless))
     found = (
-        df.select(F.explode("features"))
+        df.select(F.inline(entries))
         .select("key", kinds.alias("kinds"), size.alias("size"))
         .groupBy("key")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"), F.count_if(F.col("size") > 0).alias("present"), F.max("size").alias("most"))
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"), F.count_if(F.col("size") > 0).alias("present"), F.max("size").alias("most"), F.count(F.lit(1)).alias("rows"))
         .orderBy("key")
         .collect()  # a row per feature name, as wide as the schema it becomes
     )
+    total = sum(r.rows for r in found if r.key is None)
     fields = []
     for r in found:
+        if r.key is None:
+            continue
         if len(r.kinds) > 1:
             raise ValueError(f"Incompatible types for field {r.key}: {r.kinds[0]} != {r.kinds[1]}")
         if not r.kinds:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillet.functions.features import features_to_wide, wide_to_features
 from quillet.operators.predicate import Predicate, any_element
-from quillet.operators.projection import Projection
+from quillet.operators.projection import Projection, project
 from quillet.plans.scanner import infer_schema
 from quillet.plans.schema import ExampleSchema, FeatureType, Repetition
 from quillet.session import scratch
-from quillet.sources.examples import read_examples, write_examples
+from quillet.sources.avsc import parse_avsc
+from quillet.sources.examples import file_schema, read_examples, write_examples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,9 +88,15 @@ _holed("q_filter_not_bool_null", lambda r: ~r.open, "open is distinct from true"
 
 @_query("q_filter_native", "select p_partkey, p_size from part where p_size > 40 or p_brand is distinct from 'Brand#11' and p_size <= 3")
 def _native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _table(spark, sf_dir, "part")
-    both = Predicate.build(df.schema, lambda r: (r.p_size > 40) | ((r.p_brand != "Brand#11") & (r.p_size <= 3)))
-    return df.filter(both.column).select("p_partkey", "p_size")
+    """The row function alone judges every record."""
+    df = _table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
+    native = Predicate.build(df.schema, lambda r: (r.p_size > 40) | ((r.p_brand != "Brand#11") & (r.p_size <= 3))).native
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([native(r) for r in b.to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(judged, df.schema).select("p_partkey", "p_size")
 
 
 # projections
@@ -112,6 +121,19 @@ def _project_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Projection(df.schema, lambda r: r.c_custkey, lambda r: r.place.n_name).apply(df).select("c_custkey", "place.*")
 
 
+@_query("q_filter_nested", "select c_custkey from customer join nation on c_nationkey = n_nationkey where n_regionkey > 1 and not (c_mktsegment is not distinct from 'BUILDING')")
+def _filter_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _nested(spark, sf_dir)
+    return df.filter(Predicate(df.schema, lambda r: (r.place.n_regionkey > 1) & ~(r.place.segment == "BUILDING"))).select("c_custkey")
+
+
+@_query("q_project_string", "select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey")
+def _project_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dotted paths; names that aren't there are passed over."""
+    df = _nested(spark, sf_dir)
+    return Projection.of_paths(df.schema, "place.n_name", "ghost", "place.ghost", "c_custkey").apply(df).select("c_custkey", "place.*")
+
+
 @_query("q_project_parent_child", "select c_mktsegment as segment from customer join nation on c_nationkey = n_nationkey")
 def _project_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _nested(spark, sf_dir)
@@ -213,12 +235,12 @@ def _text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_examples(spark, f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.octet_length("text").cast("bigint").alias("n_bytes"))
 
 
-@_query("q_example_write_drops", "select o_orderkey as key from orders")
+@_query("q_example_write_drops", "select o_orderkey as key, cast(null as bigint) as big from orders")
 def _write_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A kind other than the schema's and features outside the schema leave no value."""
-    schema = ExampleSchema.builder().required("key", FeatureType.INT64).optional("big", FeatureType.INT64).named("narrow")
-    df = features_to_wide(wide_to_features(_packed(spark, sf_dir), PACKED), schema)
-    return df.filter("big is null").select("key")
+    """A kind other than the schema's and features outside the schema leave no value in the file."""
+    schema, path = ExampleSchema.builder().required("key", FeatureType.INT64).optional("big", FeatureType.INT64).named("narrow"), scratch(spark, "narrow")
+    write_examples(wide_to_features(_packed(spark, sf_dir), PACKED), path, schema)
+    return read_examples(spark, path)
 
 
 def _as_rows(spark: SparkSession, schema: ExampleSchema) -> DataFrame:
@@ -241,3 +263,190 @@ def _scan_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("q_scan_schema_map", _scan_sql())
 def _scan_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_rows(spark, infer_schema(wide_to_features(_packed(spark, sf_dir), PACKED), "packed_order"))
+
+
+# messages and text forms
+
+
+def _outcome(run: Callable[[], object]) -> str:
+    """What a case returns, or the message it fails with."""
+    try:
+        return str(run())
+    except Exception as e:  # noqa: BLE001 - the message is the result
+        raised = re.search(r"\[USER_RAISED_EXCEPTION\] (.*?) SQLSTATE", str(e), re.S)
+        return raised[1] if raised else str(e)
+
+
+def _cases(name: str, expected: dict[str, str]) -> Callable:
+    """A query of (test, outcome) rows, against literal rows."""
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in expected.items())
+
+    def keep(f: Callable[[SparkSession, str], dict[str, Callable[[], object]]]) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return spark.createDataFrame([(k, _outcome(v)) for k, v in f(spark, sf_dir).items()], "test string, outcome string")
+
+        return _query(name, f"select * from (values {rows}) as t(test, outcome)")(run)
+
+    return keep
+
+
+_CLASH = "The requested schema is not compatible with the file schema. incompatible types: "
+
+
+@_cases(
+    "q_example_evolution_errors",
+    {
+        "V1 optional to required": _CLASH + "required float big != optional float big",
+        "V2 repeated to optional": _CLASH + "optional int64 parts (INTEGER(64,true)) != repeated int64 parts (INTEGER(64,true))",
+        "V5 new required": "Failed to decode R5#x: Required field size != 1: 0",
+        "V8 another type": _CLASH + "required float key != required int64 key (INTEGER(64,true))",
+        "S5 schema and fields": "Only one of [schema, fields] can be set",
+        "S6 unknown fields": "Invalid fields: [x, y, z]",
+        "S10 schema first": "status, key",
+        "S12 footer": "key required, big optional, status required, parts repeated",
+    },
+)
+def _evolution_errors(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], object]]:
+    path, new = _stored(spark, sf_dir), ExampleSchema.builder
+    asked = {
+        "V1 optional to required": new().required("big", FeatureType.FLOAT),
+        "V2 repeated to optional": new().optional("parts", FeatureType.INT64),
+        "V5 new required": new().required("x", FeatureType.INT64),
+        "V8 another type": new().required("key", FeatureType.FLOAT),
+    }
+    cases: dict[str, Callable[[], object]] = {k: lambda b=b: read_examples(spark, path, schema=b.named("R5")).agg(*[F.max(f) for f in b.named("R5").names]).collect() for k, b in asked.items()}
+    cases["S5 schema and fields"] = lambda: read_examples(spark, path, schema=PACKED, fields=["key"])
+    cases["S6 unknown fields"] = lambda: read_examples(spark, path, fields=["z", "key", "y", "x"])
+    cases["S10 schema first"] = lambda: ", ".join(read_examples(spark, path, schema=new().optional("status", FeatureType.BYTES).optional("key", FeatureType.INT64).named("own")).columns)
+    cases["S12 footer"] = lambda: ", ".join(f"{f.name} {f.repetition.value}" for f in file_schema(spark, path).fields)
+    return cases
+
+
+@_cases(
+    "q_example_write_errors",
+    {
+        "W5 required, none": "Required field size != 1: 0",
+        "W5 required, two": "Required field size != 1: 2",
+        "W5 optional, two": "Required field size > 1: 2",
+        "W6 required of another kind": "Required field size != 1: 0",
+    },
+)
+def _write_errors(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], object]]:
+    orders, pair = _table(spark, sf_dir, "orders"), "array(o_orderkey, o_custkey)"
+    asked = {
+        "W5 required, none": (ExampleSchema.builder().required("a", FeatureType.INT64), "cast(null as array<bigint>)"),
+        "W5 required, two": (ExampleSchema.builder().required("a", FeatureType.INT64), pair),
+        "W5 optional, two": (ExampleSchema.builder().optional("a", FeatureType.INT64), pair),
+        "W6 required of another kind": (ExampleSchema.builder().required("a", FeatureType.FLOAT), pair),
+    }
+    return {k: lambda b=b, values=values: write_examples(orders.select(F.expr(values).cast("array<bigint>").alias("a")), scratch(spark, "refused"), b.named("one")) for k, (b, values) in asked.items()}
+
+
+@_cases(
+    "q_scan_schema_errors",
+    {
+        "A5 two kinds": "Incompatible types for field a: BYTES != INT64",
+        "A7 only empty lists": "b",
+        "A8 no kind": "Field type for a",
+    },
+)
+def _scan_errors(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], object]]:
+    def scan(ints: str, texts: str) -> ExampleSchema:
+        held = f"named_struct('int64_list', {ints}, 'float_list', cast(null as array<float>), 'bytes_list', {texts})"
+        one = "named_struct('int64_list', array(cast(o_orderkey as bigint)), 'float_list', cast(null as array<float>), 'bytes_list', cast(null as array<binary>))"
+        return infer_schema(_table(spark, sf_dir, "orders").select(F.expr(f"map('a', {held}, 'b', {one})").alias("features")), "s")
+
+    none, no_texts = "cast(null as array<bigint>)", "cast(null as array<binary>)"
+    return {
+        "A5 two kinds": lambda: scan("if(o_orderkey % 2 = 0, array(cast(o_orderkey as bigint)), null)", "if(o_orderkey % 2 = 0, null, array(cast(o_orderstatus as binary)))"),
+        "A7 only empty lists": lambda: ", ".join(scan("cast(array() as array<bigint>)", no_texts).names),
+        "A8 no kind": lambda: scan(none, no_texts),
+    }
+
+
+_UNION = """{"type": "record", "name": "Parcel", "fields": [
+  {"name": "id", "type": "long"},
+  {"name": "to", "type": ["null", {"type": "record", "name": "Home", "fields": [{"name": "town", "type": "string", "doc": "where"}, {"name": "door", "type": "int"}]},
+    {"type": "record", "name": "Shop", "fields": [{"name": "town", "type": "string"}, {"name": "till", "type": "int"}]}]},
+  {"name": "marks", "type": {"type": "map", "values": "string"}}]}"""
+
+
+@_cases(
+    "q_project_text",
+    {
+        "P2 text and paths": "struct<id:bigint>",
+        "P5 nested miss": "struct<>",
+        "P6 union": "struct<to:struct<member0:struct<town:string>,member1:struct<town:string>>> True",
+        "P6 one branch misses": "struct<to:struct<member0:struct<>,member1:struct<till:int>>>",
+        "P8 a map": "Projection doesn't support schema type marks:MAP with fields: k",
+        "P9 notes": "{'doc': 'where'}",
+        "P10 unknown in a lambda": "Invalid getter expression: ghost",
+        "P12 into a map": "Invalid getter expression: marks.k",
+    },
+)
+def _project_text(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], object]]:  # noqa: ARG001
+    struct = parse_avsc(_UNION)
+
+    def kind(*paths: str) -> str:
+        return project(struct, *paths).simpleString()
+
+    return {
+        "P2 text and paths": lambda: kind("id", "ghost"),
+        "P5 nested miss": lambda: project(struct, "to.member0.ghost")["to"].dataType["member0"].dataType.simpleString(),
+        "P6 union": lambda: f"{kind('to.town')} {project(struct, 'to.town')['to'].nullable}",
+        "P6 one branch misses": lambda: kind("to.till"),
+        "P8 a map": lambda: kind("marks.k"),
+        "P9 notes": lambda: project(struct, "to.town")["to"].dataType["member0"].dataType["town"].metadata,
+        "P10 unknown in a lambda": lambda: Projection(struct, lambda r: r.ghost),
+        "P12 into a map": lambda: Projection(struct, lambda r: r.marks.k),
+    }
+
+
+@_cases(
+    "q_filter_errors",
+    {
+        "F16 two fields": "Invalid expression: a field compares with a value, not with another field",
+        "F16 a constant": "Invalid expression: True",
+        **{f"F17 {o}": "Unsupported operator type: only comparisons of a field with a value are" for o in ("+", "//", "**", "<<", "reflected %", "in")},
+        "F17 minus": "Unknown unary operator: -",
+        "F17 date": "Unsupported value type: date",
+    },
+)
+def _filter_errors(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], object]]:
+    struct = _table(spark, sf_dir, "lineitem").withColumn("day", F.lit("1970-01-01").cast("date")).schema
+    conditions: dict[str, Callable] = {
+        "F16 two fields": lambda r: r.l_quantity > r.l_orderkey,
+        "F16 a constant": lambda r: 1 == 1,  # noqa: ARG005, PLR0133
+        "F17 +": lambda r: r.l_quantity + 1 > 2,
+        "F17 //": lambda r: r.l_quantity // 2 == 1,
+        "F17 **": lambda r: r.l_quantity**2 == 4,
+        "F17 <<": lambda r: r.l_quantity << 1 == 4,
+        "F17 reflected %": lambda r: 7 % r.l_quantity == 1,
+        "F17 in": lambda r: 3 in r.l_quantity,
+        "F17 minus": lambda r: -r.l_quantity < 0,
+        "F17 date": lambda r: r.day > 3,
+    }
+    return {k: lambda c=c: Predicate.build(struct, c) for k, c in conditions.items()}
+
+
+@_cases(
+    "q_schema_forms",
+    {
+        "E2 duplicate name": "Duplicate field name a",
+        "E4 message": "message packed_order {\n  required int64 key (INTEGER(64,true));\n  optional float big;\n  required binary status;\n  repeated int64 parts (INTEGER(64,true));\n}\n",
+        "E6 JSON": '{"name": "packed_order", "fields": [{"name": "key", "type": "INT64", "repetition": "REQUIRED"}, {"name": "big", "type": "FLOAT", "repetition": "OPTIONAL"}, {"name": "status", "type": "BYTES", "repetition": "REQUIRED"}, {"name": "parts", "type": "INT64", "repetition": "REPEATED"}]}',
+        "E6 there and back": "True",
+        "E7 equal by message": "True True",
+        "E7 order counts": "False",
+    },
+)
+def _schema_forms(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], object]]:  # noqa: ARG001
+    back = ExampleSchema.from_message(PACKED.to_message())
+    return {
+        "E2 duplicate name": lambda: ExampleSchema.builder().required("a", FeatureType.INT64).optional("a", FeatureType.FLOAT),
+        "E4 message": PACKED.to_message,
+        "E6 JSON": PACKED.to_json,
+        "E6 there and back": lambda: ExampleSchema.from_json(PACKED.to_json()) == PACKED,
+        "E7 equal by message": lambda: f"{back == PACKED} {hash(back) == hash(PACKED)}",
+        "E7 order counts": lambda: ExampleSchema(PACKED.name, PACKED.fields[::-1]) == PACKED,
+    }

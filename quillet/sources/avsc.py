@@ -1,4 +1,4 @@
-"""Avro schema JSON to StructType: records, nullable unions, arrays, maps and primitives, named types by reference."""
+"""Avro schema JSON to StructType: records, unions, arrays, maps and primitives, named types by reference."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from typing import Any
 
 from pyspark.sql import types as T
 
+from quillet.operators.paths import BRANCH
+
 _PRIMITIVES = {"int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "bytes": T.BinaryType(), "null": T.NullType()}
 
 
@@ -27,12 +29,22 @@ def parse_all(text: str) -> dict[str, T.StructType]:
     return {k: v for k, v in known.items() if isinstance(v, T.StructType)}
 
 
+def _union(branches: list[T.DataType]) -> T.DataType:
+    """Numbers of two widths are the wider one; other unions are a struct with a nullable column for each branch."""
+    for pair in ((T.IntegerType(), T.LongType()), (T.FloatType(), T.DoubleType())):
+        if len(branches) == 2 and all(p in branches for p in pair):
+            return pair[1]
+    return T.StructType([T.StructField(f"member{i}", b, True, {BRANCH: i}) for i, b in enumerate(branches)])
+
+
 def _parse(x: Any, known: dict[str, T.DataType]) -> tuple[T.DataType, bool]:
     """The type, and whether it can be null."""
     if isinstance(x, list):
         rest = [y for y in x if y != "null"]
-        if len(rest) != 1:
-            raise TypeError(f"Unsupported union: {x}")
+        if not rest:
+            return T.NullType(), True
+        if len(rest) > 1:
+            return _union([_parse(y, known)[0] for y in rest]), len(rest) < len(x)
         return _parse(rest[0], known)[0], len(rest) < len(x)
     if isinstance(x, str):
         if x not in _PRIMITIVES and x.split(".")[-1] not in known:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import types as T
 
-from quillet import Projection, parse_avsc, project
+from quillet import Predicate, Projection, parse_avsc, project
 
 PURCHASE = parse_avsc("""
 {"type": "record", "name": "Purchase", "fields": [
@@ -19,8 +19,26 @@ def names(struct):
 
 def test_avsc():
     assert PURCHASE["remark"].nullable and not PURCHASE["number"].nullable and PURCHASE["remark"].metadata == {"doc": "what was asked for"}
-    with pytest.raises(TypeError):
-        parse_avsc('{"type": "record", "name": "X", "fields": [{"name": "u", "type": ["int", "string"]}]}')
+    with pytest.raises(TypeError, match="Unsupported type: text"):
+        parse_avsc('{"type": "record", "name": "X", "fields": [{"name": "u", "type": "text"}]}')
+
+
+def test_unions():
+    """A union of several branches is a struct of them; paths through it prune every branch, and keep its nullability."""
+    side = '{"type": "record", "name": "%s", "fields": [{"name": "a", "type": "int"}, {"name": "b", "type": "int"}]}'
+    union = parse_avsc(f'{{"type": "record", "name": "X", "fields": [{{"name": "u", "type": [{side % "P"}, "null", {side % "Q"}]}}, {{"name": "n", "type": ["int", "long"]}}, {{"name": "m", "type": ["int", "string"]}}]}}')
+    assert names(union["m"].dataType) == "struct<member0:int,member1:string>" and names(union["n"].dataType) == "bigint"
+    assert names(project(union, "u.b")) == "struct<u:struct<member0:struct<b:int>,member1:struct<b:int>>>"
+    assert names(project(union, "u.member1.a")) == "struct<u:struct<member1:struct<a:int>>>"
+    assert project(union, "u.b")["u"].nullable and not project(union, "n")["n"].nullable
+    with pytest.raises(TypeError, match="m:INTEGER with fields: x"):
+        project(union, "m.x")
+
+
+def test_odd_names(spark):
+    df = spark.createDataFrame([(1, 2)], "`a``b` int, `c.d` int")
+    assert Projection(df.schema, lambda r: r["a`b"]).apply(df).columns == ["a`b"]
+    assert df.filter(Predicate(df.schema, lambda r: (r["a`b"] == 1) & (r["c.d"] > 1))).count() == 1
 
 
 def test_paths_and_schema():
