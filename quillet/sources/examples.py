@@ -7,6 +7,7 @@ when their column is read; a plan that prunes the column, such as a count, skips
 from __future__ import annotations
 
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,8 @@ from quillet.functions.features import checked, features_to_wide, is_map_form, w
 from quillet.plans.scanner import infer_schema
 from quillet.plans.schema import ExampleSchema, FeatureType, Field, Repetition
 
+#: Footers that the driver reads at the same time.
+_AT_ONCE = 32
 _INCOMPATIBLE = "The requested schema is not compatible with the file schema."
 
 
@@ -41,15 +44,29 @@ def _files(spark: SparkSession, paths: list[str]) -> list[str]:
     return out
 
 
-def _footer(spark: SparkSession, file: str) -> ExampleSchema:
+def _message(spark: SparkSession, file: str):  # noqa: ANN202
     jvm = spark._jvm
     source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), spark._jsc.hadoopConfiguration())
     reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
     try:
-        message = reader.getFooter().getFileMetaData().getSchema()
+        return reader.getFooter().getFileMetaData().getSchema()
     finally:
         reader.close()
-    return ExampleSchema(message.getName(), tuple(_field(message.getType(i)) for i in range(message.getFieldCount())))
+
+
+def _footers(spark: SparkSession, files: list[str]) -> list[ExampleSchema]:
+    """The schema of every file, in order. Footers are read side by side, and equal ones are taken apart once."""
+    known: dict[str, ExampleSchema] = {}
+
+    def one(file: str) -> ExampleSchema:
+        message = _message(spark, file)
+        text = message.toString()
+        if text not in known:
+            known[text] = ExampleSchema(message.getName(), tuple(_field(message.getType(i)) for i in range(message.getFieldCount())))
+        return known[text]
+
+    with ThreadPoolExecutor(_AT_ONCE) as pool:
+        return list(pool.map(one, files))
 
 
 def _field(column) -> Field:  # noqa: ANN001
@@ -71,7 +88,7 @@ def _field(column) -> Field:  # noqa: ANN001
 
 def file_schema(spark: SparkSession, path: str) -> ExampleSchema:
     """The schema in the footer of the first file."""
-    return _footer(spark, _files(spark, [path])[0])
+    return _footers(spark, _files(spark, [path])[:1])[0]
 
 
 def _check(requested: ExampleSchema, held: ExampleSchema) -> None:
@@ -84,28 +101,32 @@ def _check(requested: ExampleSchema, held: ExampleSchema) -> None:
             raise ValueError(f"{_INCOMPATIBLE} incompatible types: {f.message()} != {had.message()}")
 
 
-def read_examples(spark: SparkSession, path: str | list[str], schema: ExampleSchema | None = None, fields: list[str] | None = None, form: str = "wide", footers: int | None = None) -> DataFrame:
+def read_examples(spark: SparkSession, path: str | list[str], schema: ExampleSchema | None = None, fields: list[str] | None = None, form: str = "wide") -> DataFrame:
     """Reads Example records: ``schema`` orders, widens and checks, ``fields`` picks in file order, neither takes all.
 
-    ``footers``: how many files' footers the driver checks, None for all; files may differ where the schema allows."""
+    Every file's footer is checked; files may differ where the schema allows."""
     if schema is not None and fields is not None:
         raise ValueError("Only one of [schema, fields] can be set")
     if form not in ("wide", "map"):
         raise ValueError(f"form is wide or map, not {form}")
-    files = _files(spark, [path] if isinstance(path, str) else list(path))
-    held = {f: _footer(spark, f) for f in files[:footers]}
-    first = held[files[0]]
-    requested = schema if schema is not None else first if fields is None else first.select(fields)
-    for h in held.values():
-        _check(requested, h)
+    paths = [path] if isinstance(path, str) else list(path)
+    files = _files(spark, paths)
+    held = _footers(spark, files)
+    requested = schema if schema is not None else held[0] if fields is None else held[0].select(fields)
     layouts: dict[tuple, list[str]] = defaultdict(list)
-    for f in files:
-        had = {x.name: x.repetition for x in held.get(f, first).fields}
-        layouts[tuple(had.get(x.name) is Repetition.REPEATED if x.name in had else x.repetition is Repetition.REPEATED for x in requested.fields)].append(f)
+    of_schema: dict[ExampleSchema, tuple] = {}
+    for f, h in zip(files, held, strict=True):
+        if h not in of_schema:
+            _check(requested, h)
+            had = {x.name: x.repetition for x in h.fields}
+            of_schema[h] = tuple(had.get(x.name, x.repetition) is Repetition.REPEATED for x in requested.fields)
+        layouts[of_schema[h]].append(f)
+    if len(layouts) == 1:  # the folders as they were given, not a list of all their files
+        layouts = {next(iter(layouts)): paths}
     parts = []
     for lists, own in layouts.items():
         physical = T.StructType([T.StructField(f.name, T.ArrayType(f.type.spark) if as_list else f.type.spark) for f, as_list in zip(requested.fields, lists, strict=True)])
-        df = spark.read.schema(physical).parquet(*own)
+        df = spark.read.schema(physical).option("recursiveFileLookup", "true").parquet(*own)
         parts.append(df.select(*[_adapted(df, f, as_list, requested.name).alias(f.name, metadata={"repetition": f.repetition.value}) for f, as_list in zip(requested.fields, lists, strict=True)]))
     wide = reduce(DataFrame.unionByName, parts)
     return wide if form == "wide" else wide_to_features(wide, requested)
