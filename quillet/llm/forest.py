@@ -7,14 +7,17 @@ precision, and what reaches the cosine is linked and united.
 Exact copies are compared once and counted by their number. A pair that meets in several leaves counts in the first
 only. A leaf with more than ``block`` vectors is compared in pairs of blocks, so no task holds a whole large leaf.
 
-Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of another
-length than most. Rows that repeat an id are vectors of their own, linked as copies.
+Vectors of different lengths link with nothing of each other; each length has trees of its own. Vectors that are null,
+empty, zero or hold null or non-finite components link with nothing. Rows that repeat an id are vectors of their own,
+linked as copies; of equal ids the component's is the least. A null id is nobody's component. Only ``vec_id`` and
+``embedding`` are read, so other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,13 +31,22 @@ COSINE = 0.95
 #: What a fit looks at, at most; how large leaves should be; trees.
 SAMPLE, LEAF, TREES = 16_384, 256, 6
 BLOCK = 1024
+#: More than a tree has leaves; leaves are numbered by the vectors' length, the tree and the leaf.
+NODES = 1 << 24
+
+
+@lru_cache(maxsize=4096)
+def _direction(seed: int, width: int) -> np.ndarray:
+    """A node's direction; a number stands for it wherever the tree is sent."""
+    d = np.random.default_rng(seed).standard_normal(width)
+    return d / np.linalg.norm(d)
 
 
 @dataclass(frozen=True)
 class Tree:
-    """Node 0 is the root; ``left`` and ``right`` are nodes, or leaves as -1 - leaf."""
+    """Node 0 is the root; ``left`` and ``right`` are nodes, or leaves as -1 - leaf. Directions are made from ``seeds``."""
 
-    directions: np.ndarray
+    seeds: np.ndarray
     cuts: np.ndarray
     left: np.ndarray
     right: np.ndarray
@@ -47,7 +59,7 @@ class Tree:
         rows, out_rows, out_leaves = {0: np.arange(len(x))}, [], []
         while rows:
             node, own = rows.popitem()
-            side = x[own] @ self.directions[node] - self.cuts[node]
+            side = x[own] @ _direction(int(self.seeds[node]), x.shape[1]) - self.cuts[node]
             for child, mine in ((self.left[node], own[side <= self.margin]), (self.right[node], own[side >= -self.margin])):
                 if child < 0:
                     out_rows.append(mine)
@@ -58,34 +70,32 @@ class Tree:
 
 
 def grow(sample: np.ndarray, most: float, margin: float, seed: int) -> Tree:
-    rng = np.random.default_rng(seed)
-    directions, cuts, left, right, n_leaves = [], [], [], [], 0
+    seeds, cuts, left, right, n_leaves, tried = [], [], [], [], 0, 0
     todo: list[tuple[np.ndarray, int, int]] = [(np.arange(len(sample)), -1, 0)]
     while todo:
         own, parent, side = todo.pop()
         best = None
         if len(own) > max(most, 4):
             for _ in range(4):  # a split that most rows escape both ways, as within one tight group, is no use
-                d = rng.standard_normal(sample.shape[1])
-                d /= np.linalg.norm(d)
-                at = sample[own] @ d
+                own_seed, tried = (seed << 32) + tried, tried + 1
+                at = sample[own] @ _direction(own_seed, sample.shape[1])
                 cut_at = float(np.median(at))
                 sides = own[at <= cut_at + margin], own[at >= cut_at - margin]
                 if max(map(len, sides)) <= 0.8 * len(own):
-                    best = d, cut_at, sides
+                    best = own_seed, cut_at, sides
                     break
         if best is None:
             here, n_leaves = -1 - n_leaves, n_leaves + 1
         else:
             here = len(cuts)
-            directions.append(best[0])
+            seeds.append(best[0])
             cuts.append(best[1])
             left.append(0)
             right.append(0)
             todo += [(best[2][0], here, 0), (best[2][1], here, 1)]
         if parent >= 0:
             (left if side == 0 else right)[parent] = here
-    return Tree(np.array(directions), np.array(cuts), np.array(left), np.array(right), margin)
+    return Tree(np.array(seeds, np.int64), np.array(cuts), np.array(left), np.array(right), margin)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -98,17 +108,23 @@ def _scaled(column: pd.Series) -> np.ndarray:
     return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
-def fit(vectors: DataFrame, n: int, cosine: float, trees: int, leaf: int, sample: int, seed: int) -> list[Tree]:
-    """On about ``sample`` vectors at most, drawn by a hash; leaves are sized for all ``n``."""
+def fit(vectors: DataFrame, n: int, cosine: float, trees: int, leaf: int, sample: int, seed: int) -> dict[int, list[Tree]]:
+    """Trees for each length of vector, on about ``sample`` vectors at most in all, drawn by a hash; leaves are sized for
+    all ``n``. A length that isn't drawn has no trees."""
     drawn = vectors.select("vec")
     if n > sample:
         drawn = drawn.where(F.pmod(F.xxhash64(F.lit(seed), "vec"), F.lit(1 << 30)) < int(0.95 * sample / n * (1 << 30)))
     rows = drawn.toPandas()["vec"]
-    if not len(rows):
-        return [Tree(np.zeros((0, 1)), np.zeros(0), np.zeros(0), np.zeros(0), 0.0)] * trees
-    x = unit(_scaled(rows))
-    margin = 0.5 * np.sqrt(2 * (1 - cosine) / x.shape[1])  # a half of how far a linked pair's projections usually differ
-    return [grow(x, leaf * len(x) / n, margin, seed * 1000 + t) for t in range(trees)]
+    forests = {}
+    for width, own in rows.groupby(rows.map(len)):
+        x = unit(_scaled(own))
+        margin = 0.5 * np.sqrt(2 * (1 - cosine) / width)  # a half of how far a linked pair's projections usually differ
+        forests[int(width)] = [grow(x, leaf * len(rows) / n, margin, seed * 1000 + t) for t in range(trees)]
+    return forests
+
+
+#: One leaf for all vectors of a length.
+WHOLE = Tree(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0), 0.0)
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -156,29 +172,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     rows = pick(vectors, "vec_id", "embedding").select("vec_id", F.col("embedding").alias("vec"))
     fine = F.col("vec").isNotNull() & ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("vec", lambda v: v != 0)
     rows = rows.select("vec_id", F.when(F.coalesce(fine, F.lit(False)), F.col("vec")).alias("vec"))
-    most = rows.where("vec is not null").groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    width = most.d if most else 0
-    rows = rows.select("vec_id", F.when(F.size("vec") == width, F.col("vec")).alias("vec"))
     distinct = cut(rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("uid", F.monotonically_increasing_id()))
     n = distinct.count()
-    forest = fit(distinct, n, cosine, trees, leaf, sample, seed)
-    width_of_tree = 1 << 40
+    forests = fit(distinct, n, cosine, trees, leaf, sample, seed)
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            x = unit(_scaled(f["vec"]))
-            found = [t.leaves(x) for t in forest]
-            at = np.concatenate([r for r, _ in found])
-            to = np.concatenate([k + i * width_of_tree for i, (_, k) in enumerate(found)])
-            order = np.lexsort((to, at))
-            at, to = at[order], to[order]
-            ends = np.cumsum(np.bincount(at, minlength=len(f)))
-            paths = np.split(to, ends[:-1])
-            out = f[["uid", "n", "vec"]].iloc[at].reset_index(drop=True)
-            out["leaf"], out["path"] = to, [paths[i] for i in at]
-            yield out
+        for frame in frames:
+            for width, f in frame.groupby(frame["vec"].map(len)):
+                x = unit(_scaled(f["vec"]))
+                found = [t.leaves(x) for t in forests.get(int(width), [WHOLE])]
+                at = np.concatenate([r for r, _ in found])
+                to = np.concatenate([k + (int(width) * trees + i) * NODES for i, (_, k) in enumerate(found)])
+                order = np.lexsort((to, at))
+                at, to = at[order], to[order]
+                ends = np.cumsum(np.bincount(at, minlength=len(f)))
+                paths = np.split(to, ends[:-1])
+                out = f[["uid", "n", "vec"]].iloc[at].reset_index(drop=True)
+                out["leaf"], out["path"] = to, [paths[i] for i in at]
+                yield out
 
     kind = distinct.schema["vec"].dataType.simpleString()
     sent = distinct.select("uid", "n", "vec").mapInPandas(route, f"uid long, n long, vec {kind}, leaf long, path array<long>")

@@ -45,8 +45,21 @@ def test_edges(spark):
     assert [tuple(r) for r in forest.near_duplicates(alone).collect()] == [(1, 0, 1, True)]
 
 
-@pytest.mark.parametrize("block", [40, 1000])
-def test_groups(spark, block):
+def test_lengths(spark):
+    """Vectors of every length are compared among their own, few or many, with trees fitted on them or none."""
+    rng = np.random.default_rng(4)
+    x = [v.tolist() for d, n in ((2, 3), (3, 2), (8, 300), (16, 500)) for v in np.concatenate([rng.standard_normal((n, d)), np.repeat(rng.standard_normal((1, d)), 3, axis=0)])]
+    for sample in (forest.SAMPLE, 100):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in forest.near_duplicates(frame(spark, [(i, v, 0) for i, v in enumerate(x)]), leaf=50, sample=sample).collect()}
+        want = {}
+        for d in (2, 3, 8, 16):
+            own = [i for i, v in enumerate(x) if len(v) == d]
+            want |= brute(own, [np.float32(x[i]).tolist() for i in own])
+        assert got == want
+
+
+@pytest.mark.parametrize("block, sample", [(40, forest.SAMPLE), (1000, forest.SAMPLE), (1000, 400)])
+def test_groups(spark, block, sample):
     """Tight groups of all sizes, larger than leaves and blocks, give brute force's links and components."""
     rng = np.random.default_rng(0)
     parts = [rng.standard_normal((900, 16))]
@@ -55,7 +68,7 @@ def test_groups(spark, block):
     parts.append(np.repeat(rng.standard_normal((1, 16)), 50, axis=0))
     x = np.concatenate(parts).astype(np.float32)
     ids = [int(i) for i in rng.permutation(len(x))]
-    got = {r.vec_id: (r.n_links, r.component_id) for r in forest.near_duplicates(frame(spark, [(i, v.tolist(), 0) for i, v in zip(ids, x, strict=True)]), leaf=50, block=block).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in forest.near_duplicates(frame(spark, [(i, v.tolist(), 0) for i, v in zip(ids, x, strict=True)]), leaf=50, block=block, sample=sample).collect()}
     want = brute(ids, x.tolist())
     links = sum(n for n, _ in want.values())
     found = sum(n for n, _ in got.values())
