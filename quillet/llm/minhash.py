@@ -26,6 +26,8 @@ from quillet.session import cut, discard
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
+#: Bytes of text that a worker takes apart at once: each needs about a hundred bytes of arrays.
+SLICE = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,7 +126,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = W
     """doc_id, h1, h2 and bands; bands are null where the text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             own = texts(b)
             signatures, any_word = darts(*multisets(own, width), len(own), bands * rows)
             flat = banded(signatures, rows).view(np.int64)
@@ -212,14 +214,14 @@ def _named(docs: DataFrame, similarity: float, bands: int, rows: int, width: int
         both = pairs.join(held.select(F.col("item").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("item").alias("b"), F.col("text").alias("tb")), "b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for s in slices(batches, "tb"):
+            for s in slices(batches, "tb", SLICE):
                 yield pa.RecordBatch.from_arrays([s.column("a"), s.column("b"), pa.array(distance(s, width))], names=["a", "b", "d"])
 
         return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, d double")
 
     def sets(wanted: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for s in slices(batches):
+            for s in slices(batches, most=SLICE):
                 found, ends = tokens(texts(s), width)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(found))
                 yield pa.RecordBatch.from_arrays([s.column("item"), lists], names=["item", "tokens"])
@@ -232,7 +234,7 @@ def _named(docs: DataFrame, similarity: float, bands: int, rows: int, width: int
         both = pairs.join(held.select(F.col("item").alias("lead"), F.col("text").alias("ta")), "lead").join(held.withColumnRenamed("text", "tb"), "item")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for s in slices(batches, "tb"):
+            for s in slices(batches, "tb", SLICE):
                 sizes, lists = first_tokens(texts(s, "ta"), texts(s, "tb"), late, similarity, width)
                 yield pa.RecordBatch.from_arrays([s.column("lead"), s.column("item"), sizes, lists], names=["lead", "item", "size", "tokens"])
 
