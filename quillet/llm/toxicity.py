@@ -1,13 +1,15 @@
 """Toxicity by weak supervision.
 
 A bounded sample of labelled rows gives terms (words and word beginnings) that toxic texts use more. They are dealt to
-several lexicon voters; pattern voters watch shouting and exclamation, and the given label votes too. A generative
-label model, fitted by expectation-maximisation, estimates every voter's accuracy and, as a tree of the strongest
-conditional dependences, which voters repeat each other. A linear classifier is trained on its posterior labels and
-scores every text by its counts of the terms and its patterns.
+many lexicon voters, which abstain where they find none; others watch how many different terms there are, shouting and
+exclamation. The label itself has no vote. A generative label model, fitted by a few rounds of expectation-maximisation
+that begin at the labels, estimates how right every voter is and, as a tree of the strongest conditional dependences,
+which voters repeat each other. A linear classifier is trained on its posterior labels and scores every text by its
+counts of the terms and its patterns.
 
 The inputs of a score are the text alone. A null or empty text scores like any text without terms. Rows that repeat
-score alike. Without a labelled row of either kind, every text gets the constant share of toxic labels.
+score alike, and long ones as a whole. Only ``doc_id``, ``text`` and ``toxic`` are read, so other columns may have any
+name; an empty table gives an empty result, and of terms equally strong the one of the least hash is taken. Without a labelled row of either kind, every text gets the constant share of toxic labels.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from quillet.llm.common import pick, slices, texts, word_spans
 
 FOLDS = 5
 #: Labelled rows, terms and voters that a fit uses at most.
-SAMPLE_ROWS, MOST_TERMS, LEXICONS = 6_000, 400, 8
+SAMPLE_ROWS, MOST_TERMS, LEXICONS = 6_000, 400, 100
 #: How far a term's likelihood ratio must be from chance (chi-squared with one degree of freedom).
 SURE = 24.0
+#: Rounds of expectation-maximisation. Later ones drift from what is toxic to what else the voters agree on.
+ROUNDS = 3
 PREFIXES = (4, 5, 6, 7, 8, 9)
 _PARTS = np.ones(256, bool)
 _PARTS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -86,39 +90,39 @@ class Lookup:
         return flat.reshape(n, len(self.known)).astype(np.float32)
 
 
+CLEAN, TOXIC, ABSTAIN = 0, 1, 2
+
+
 @dataclass(frozen=True)
 class LabelModel:
     """Voters on a tree: P(vote | toxic or not, the parent's vote). ``parents`` is -1 at the root."""
 
     prior: float
     parents: np.ndarray
-    tables: np.ndarray  # [voter, class, parent's vote] -> P(vote = 1)
+    tables: np.ndarray  # [voter, class, parent's vote, vote]
 
     @classmethod
-    def fit(cls, votes: np.ndarray, start: np.ndarray, rounds: int = 15, trusted: float = 0.99) -> LabelModel:
-        """``start``: a first guess of P(toxic) for each row. The last voter is right with probability ``trusted``,
-        which fixes what the classes mean; the others' accuracies and dependences are estimated."""
+    def fit(cls, votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
+        """``start``: a first guess of P(toxic) for each row, which says what the classes mean; how right each voter is,
+        how often it abstains and which voters depend on each other is estimated from the votes alone."""
         p, model = start.astype(float), None
         for _ in range(rounds):
-            parents = np.append(_tree(votes[:, :-1], p), -1)
-            seen = np.where(parents[None, :] >= 0, votes[:, parents], 0)
-            tables = np.zeros((votes.shape[1], 2, 2))
+            parents = _tree(votes, p)
+            seen = np.where(parents[None, :] >= 0, votes[:, parents], ABSTAIN)
+            tables = np.zeros((votes.shape[1], 2, 3, 3))
             for y, weight in enumerate((1 - p, p)):
-                for q in (0, 1):
+                for q in range(3):
                     w = weight[:, None] * (seen == q)
-                    tables[:, y, q] = ((w * votes).sum(0) + 0.5) / (w.sum(0) + 1)
-            tables[-1, 0], tables[-1, 1] = 1 - trusted, trusted
+                    for v in range(3):
+                        tables[:, y, q, v] = ((w * (votes == v)).sum(0) + 0.5) / (w.sum(0) + 1.5)
             model = cls(float(np.clip(p.mean(), 1e-6, 1 - 1e-6)), parents, tables)
             p = model.posterior(votes)
         return model
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        seen = np.where(self.parents[None, :] >= 0, votes[:, self.parents], 0)
+        seen = np.where(self.parents[None, :] >= 0, votes[:, self.parents], ABSTAIN)
         voter = np.arange(votes.shape[1])[None, :]
-        logs = []
-        for y in (0, 1):
-            one = self.tables[voter, y, seen]
-            logs.append(np.log(np.where(votes == 1, one, 1 - one)).sum(1) + np.log((1 - self.prior, self.prior)[y]))
+        logs = [np.log(self.tables[voter, y, seen, votes]).sum(1) + np.log((1 - self.prior, self.prior)[y]) for y in (0, 1)]
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
 
 
@@ -127,12 +131,12 @@ def _tree(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
     n = votes.shape[1]
     gain = np.zeros((n, n))
     for weight in (1 - p, p):
-        total = weight.sum() + 4
-        for a in (0, 1):
-            for b in (0, 1):
-                both = ((weight[:, None] * (votes == a)).T @ (votes == b) + 1) / total
-                pa_, pb = (weight @ (votes == a) + 2) / total, (weight @ (votes == b) + 2) / total
-                gain += (total / (len(votes) + 8)) * both * np.log(both / np.outer(pa_, pb))
+        total = weight.sum() + 9
+        for a in range(3):
+            for b in range(3):
+                both = ((weight[:, None] * (votes == a)).T @ (votes == b).astype(float) + 1) / total
+                pa_, pb = (weight @ (votes == a) + 3) / total, (weight @ (votes == b) + 3) / total
+                gain += (total / (len(votes) + 18)) * both * np.log(both / np.outer(pa_, pb))
     parents, inside = np.full(n, -1), [0]
     while len(inside) < n:
         outside = [i for i in range(n) if i not in inside]
@@ -143,6 +147,16 @@ def _tree(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
     return parents
 
 
+def ballot(counts: np.ndarray, odds: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """The votes on texts with these counts of terms: lexicons, which the terms are dealt to by strength, numbers of
+    different terms, capitals and exclamation marks. A lexicon that finds nothing abstains; what finds nothing at all votes clean."""
+    dealt = np.argsort(-odds, kind="stable")
+    kinds = (counts > 0).sum(1)
+    says = [(counts[:, dealt[k::LEXICONS]].sum(1) > 0, None) for k in range(LEXICONS)]
+    says += [(kinds >= 2, kinds == 0), (kinds >= 4, kinds <= 1), (shape[:, 0] > 0.6, None), (shape[:, 1] > 0.4, None)]
+    return np.stack([np.where(yes, TOXIC, ABSTAIN if no is None else np.where(no, CLEAN, ABSTAIN)) for yes, no in says], axis=1)
+
+
 @dataclass(frozen=True)
 class Model:
     terms: np.ndarray
@@ -166,10 +180,7 @@ def train(own: list[bytes], toxic: np.ndarray) -> Model:
     counts = lookup.counts(hashes, owner, len(own))
     odds = odds[np.argsort(chosen)]
     shape = np.concatenate([patterns(own[i : i + 1000]) for i in range(0, len(own), 1000)])
-    # voters: the terms dealt out by strength, the patterns, and the label as given
-    dealt = np.argsort(-odds)
-    lexicons = [counts[:, dealt[k::LEXICONS]].sum(1) > 0 for k in range(LEXICONS)]
-    votes = np.stack([*lexicons, shape[:, 0] > 0.6, shape[:, 1] > 0.4, toxic > 0.5], axis=1).astype(np.int64)
+    votes = ballot(counts, odds, shape)
     posterior = LabelModel.fit(votes, np.clip(toxic, 0.02, 0.98)).posterior(votes)
     x = np.hstack([np.minimum(counts, 3), shape]).astype(np.float32)
     weights, bias = _linear(x, posterior)

@@ -60,7 +60,7 @@ def test_label_model_finds_accuracies_and_copies():
     vote = lambda right: np.where(rng.random(4000) < right, y, ~y)
     first = vote(0.8)
     votes = np.stack([first, first, first, vote(0.9), vote(0.85), vote(0.95)], axis=1).astype(int)
-    model = toxicity.LabelModel.fit(votes, vote(0.95).astype(float) * 0.9 + 0.05, trusted=0.95)
+    model = toxicity.LabelModel.fit(votes, vote(0.95).astype(float) * 0.9 + 0.05)
     edges = {frozenset((i, int(p))) for i, p in enumerate(model.parents) if p >= 0}
     assert len(edges & {frozenset(e) for e in ((0, 1), (0, 2), (1, 2))}) == 2  # copies hang together, and count once
     p = model.posterior(votes)
@@ -69,6 +69,18 @@ def test_label_model_finds_accuracies_and_copies():
     assert ((p[apart] > 0.5) == votes[apart, 3]).all()
 
 
+def test_the_label_has_no_vote():
+    """Posterior labels follow the votes: texts that vote alike are labelled alike, however their own labels differ."""
+    counts = np.array([[1, 0, 1], [1, 0, 1], [0, 0, 0], [0, 1, 0]], np.float32)
+    votes = toxicity.ballot(counts, np.array([3.0, 2.0, 1.0]), np.zeros((4, 2)))
+    assert votes.shape == (4, toxicity.LEXICONS + 4) and set(votes[2]) == {toxicity.CLEAN, toxicity.ABSTAIN}
+    assert (votes[0] == votes[1]).all() and (votes[0, :3] == [toxicity.TOXIC, toxicity.ABSTAIN, toxicity.TOXIC]).all()
+    many = votes[[0] * 30 + [2] * 60]
+    told = np.array([0.02] + [0.98] * 29 + [0.02] * 60)
+    p = toxicity.LabelModel.fit(many, told).posterior(many)
+    assert len(set(p[:30])) == 1 and p[0] > 0.9 and (p[30:] < 0.1).all()
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
