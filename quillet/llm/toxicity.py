@@ -106,6 +106,8 @@ class LabelModel:
         """``start``: a first guess of P(toxic) for each row, which says what the classes mean; how right each voter is,
         how often it abstains and which voters depend on each other is estimated from the votes alone."""
         p, model = start.astype(float), None
+        # every table leans by one row to the voter's votes overall, so that what is rarely seen says little
+        overall = [((votes == v).sum(0) + 0.1) / (len(votes) + 0.3) for v in range(3)]
         for _ in range(rounds):
             parents = _tree(votes, p)
             seen = np.where(parents[None, :] >= 0, votes[:, parents], ABSTAIN)
@@ -114,7 +116,7 @@ class LabelModel:
                 for q in range(3):
                     w = weight[:, None] * (seen == q)
                     for v in range(3):
-                        tables[:, y, q, v] = ((w * (votes == v)).sum(0) + 0.5) / (w.sum(0) + 1.5)
+                        tables[:, y, q, v] = ((w * (votes == v)).sum(0) + overall[v]) / (w.sum(0) + 1)
             model = cls(float(np.clip(p.mean(), 1e-6, 1 - 1e-6)), parents, tables)
             p = model.posterior(votes)
         return model
