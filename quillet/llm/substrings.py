@@ -31,6 +31,8 @@ LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM  # how far a string that holds an anchor can start before it
 CONTEXT = REACH + LENGTH
 _B = 0x5851F42D4C957F2D
+#: Bytes of text that a worker takes apart at once; deflated ones are about a quarter.
+SLICE = 1 << 19
 BUCKET_BYTES = 4 << 20
 _FIRST = -(1 << 63)  # a null doc_id in comparisons
 
@@ -94,7 +96,7 @@ def _deflated(docs: DataFrame) -> DataFrame:
     """doc, part and its text deflated, as whole texts are about to be shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("part"), pa.array([zlib.compress(t, 6) for t in texts(b)], pa.binary())], names=["doc", "part", "deflated"])
 
     return docs.select("doc", "part", "text").mapInArrow(run, "doc long, part long, deflated binary")
@@ -107,7 +109,7 @@ def covered(docs: DataFrame, copies: DataFrame) -> DataFrame:
     n = _buckets(total, spark)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             found = [(doc, *anchors(text), part) for doc, part, text in sorted(zip(b.column("doc").to_pylist(), b.column("part").to_pylist(), texts(b), strict=True))]
             found = [f for f in found if len(f[1])]
             if not found:
@@ -136,7 +138,7 @@ def covered(docs: DataFrame, copies: DataFrame) -> DataFrame:
     places = spots.groupBy("doc", "part").agg(F.collect_list(F.struct("bucket", "anchor", "pos")).alias("places")).join(copies, ["doc", "part"], "left_anti")
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "deflated"):
+        for b in slices(batches, "deflated", SLICE >> 2):
             held = [(doc, part, text, own.values) for doc, part, text, own in zip(b.column("doc").to_pylist(), b.column("part").to_pylist(), map(zlib.decompress, texts(b, "deflated")), b.column("places"), strict=True)]
             if not held:
                 continue
@@ -217,7 +219,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     joined = _deflated(rows).join(fates, ["doc", "part"], "left").select(F.when(F.col("doc") != _FIRST, F.col("doc")).alias("doc_id"), "deflated", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "deflated"):
+        for b in slices(batches, "deflated", SLICE >> 2):
             out = []
             for doc_id, own, copy, held in zip(b.column("doc_id").to_pylist(), map(zlib.decompress, texts(b, "deflated")), b.column("copy").to_pylist(), b.column("spans"), strict=True):
                 if copy:
