@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillet.llm.common import kinds, mixed, pick, slices, texts, words
-from quillet.llm.links import classes
+from quillet.llm.links import BITS, classes
 from quillet.session import cut, discard
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -170,6 +170,15 @@ def tokens(own: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray
     return token[np.lexsort((token, owner))], np.cumsum(np.bincount(owner, minlength=len(own)))
 
 
+def marks(own: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each text its number of tokens, and its mark (see ``links``)."""
+    token, ends = tokens(own, width)
+    sizes = np.diff(ends, prepend=0)
+    place = np.repeat(np.arange(len(own)), sizes) * BITS + (token & (BITS - 1))
+    odd = (np.bincount(place, minlength=len(own) * BITS) & 1).astype(np.uint8)
+    return sizes, np.packbits(odd).view(np.int64).reshape(len(own), BITS // 64)
+
+
 def first_tokens(leads: list[bytes], own: list[bytes], common: np.ndarray, similarity: float, width: int = WIDTH) -> tuple[pa.Array, pa.Array]:
     """For each text its number of tokens and the first ``links.room`` of them, last those in ``common``, in its
     order, and before them those that its leader has."""
@@ -201,15 +210,24 @@ def _named(docs: DataFrame, similarity: float, bands: int, rows: int, width: int
 
     texts_of: list[DataFrame] = []
 
-    def held_texts(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct().join(items.select("item", "h1", "h2", "rep"), "item")
+    def held_texts(wanted: DataFrame) -> DataFrame:
+        needed = wanted.join(items.select("item", "h1", "h2", "rep"), "item")
         source = _copies(docs)
         held = source.join(needed, (source["h1"] == needed["h1"]) & (source["h2"] == needed["h2"]) & source["doc_id"].eqNullSafe(needed["rep"])).select("item", "text")
         return cut(held.dropDuplicates(["item"]))
 
+    def marked(wanted: DataFrame) -> DataFrame:
+        texts_of.append(held_texts(wanted))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for s in slices(batches, most=SLICE):
+                sizes, rows = marks(texts(s), width)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, BITS // 64), pa.int32()), pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([s.column("item"), pa.array(sizes, pa.int32()), lists], names=["item", "weight", "mark"])
+
+        return texts_of[0].select("item", "text").mapInArrow(run, "item long, weight int, mark array<long>")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        if not texts_of:  # the first pairs hold every item that shares a bucket, and so every item of later ones
-            texts_of.append(held_texts(pairs))
         held = texts_of[0]
         both = pairs.join(held.select(F.col("item").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("item").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -240,7 +258,7 @@ def _named(docs: DataFrame, similarity: float, bands: int, rows: int, width: int
 
         return both.select("lead", "item", "ta", "tb").mapInArrow(run, "lead long, item long, size int, tokens array<long>")
 
-    found = classes(members, verify, 1 - similarity + 1e-12, sets, firsts)
+    found = classes(members, verify, 1 - similarity + 1e-12, sets, firsts, marked)
     named = cut(items.join(found, items["item"] == found["node"], "left").where("bands is not null").select("h1", "h2", "rep", F.coalesce("component", "item").alias("class")))
     discard(items, found, *texts_of)
     return each, named

@@ -167,6 +167,29 @@ def test_classes_of_pairs_that_share_one_large_bucket(spark, monkeypatch, many):
     assert len(want) > 5 and set(map(frozenset, got.values())) == want
 
 
+def test_marks_leave_out_far_pairs_only(spark):
+    """Of pairs in one bucket only those that the marks let be near are made, and none that is near is left out. The
+    marks of both operators say so."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    middle = [word() for _ in range(300)]
+    own = [" ".join(edited(middle, r.randint(1, 40), r)).encode() for _ in range(60)]
+    held, ends = minhash.tokens(own)
+    sets = [set(x.tolist()) for x in np.split(held, ends[:-1])]
+    sizes, flat = minhash.marks(own)
+    python = spark.createDataFrame([(i, int(n), x) for i, (n, x) in enumerate(zip(sizes, flat.tolist(), strict=True))], "item long, weight int, mark array<long>")
+    native = spark.createDataFrame([(i, x) for i, own in enumerate(sets) for x in own], "item long, token long").groupBy("item").agg(*links.mark())
+    rows = python.select("item", F.lit(1).alias("bucket"), F.col("item").alias("class"), F.lit(-1).alias("main"), F.lit(None).cast("long").alias("lead"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("size"))
+    near = {(i, j) for j in range(60) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    close = {(i, j) for j in range(60) for i in range(j) if len(sets[i] & sets[j]) >= 0.65 * len(sets[i] | sets[j])}
+    assert len(near) > 20 and len(close) < 900
+    every = python.select(F.col("item").alias("a")).crossJoin(python.select(F.col("item").alias("b"))).where("a < b")
+    for marks in (python, native):
+        for pairs in (links._direct(rows, 0.2 + 1e-12, marks), links._unmarked(every, marks, 0.2 + 1e-12)):
+            got = {(x.a, x.b) for x in pairs.collect()}
+            assert near <= got and len(got - close) < 20
+
+
 def test_first_tokens():
     """Near multisets share one of the first tokens."""
     r = random.Random(4)
