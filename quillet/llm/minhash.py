@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillet.llm.common import kinds, mixed, pick, slices, texts, words
-from quillet.llm.links import BITS, classes
+from quillet.llm.links import BITS, classes, only
 from quillet.session import cut, discard
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -228,7 +228,7 @@ def _named(docs: DataFrame, similarity: float, bands: int, rows: int, width: int
         return texts_of[0].select("item", "text").mapInArrow(run, "item long, weight int, mark array<long>")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        held = texts_of[0]
+        held = only(texts_of[0], pairs)
         both = pairs.join(held.select(F.col("item").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("item").alias("b"), F.col("text").alias("tb")), "b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +248,7 @@ def _named(docs: DataFrame, similarity: float, bands: int, rows: int, width: int
 
     def firsts(pairs: DataFrame, common: list[int]) -> DataFrame:
         late = np.array(common, np.int64)
-        held = texts_of[0]
+        held = only(texts_of[0], pairs)
         both = pairs.join(held.select(F.col("item").alias("lead"), F.col("text").alias("ta")), "lead").join(held.withColumnRenamed("text", "tb"), "item")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
