@@ -167,6 +167,34 @@ def test_classes_of_pairs_that_share_one_large_bucket(spark, monkeypatch, many):
     assert len(want) > 5 and set(map(frozenset, got.values())) == want
 
 
+def test_members_of_several_large_buckets_are_split_once(spark, monkeypatch):
+    """Buckets of one component have leaders of their own, but one order of tokens, so no member's tokens are taken twice."""
+    monkeypatch.setattr(links, "MANY", 0)
+    r = random.Random(7)
+    middle = list(range(200))
+    sets = [set(middle) - set(r.sample(middle, n)) | {r.randrange(10**6, 10**9) for _ in range(n)} for n in [r.randint(1, 8) for _ in range(30)] + [r.randint(40, 60) for _ in range(10)]]
+    held = spark.createDataFrame(list(enumerate(map(list, sets))), "item long, tokens array<long>")
+    spots = [(i, [k for k in range(6) if r.random() < 0.6] + [100 + i]) for i in range(40)]
+    split = []
+
+    def both(pairs, a, b):
+        x, y = held.select(F.col("item").alias(a), F.col("tokens").alias("ta")), held.select(F.col("item").alias(b), F.col("tokens").alias("tb"))
+        return pairs.join(x, a).join(y, b)
+
+    def verify(pairs):
+        return both(pairs, "a", "b").select("a", "b", (1 - F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))).alias("d"))
+
+    def firsts(pairs, common):
+        split.extend(x.item for x in pairs.collect())
+        ranked = F.concat(F.sort_array(F.array_except("tb", "ta")), F.sort_array(F.array_intersect("tb", "ta")))
+        return both(pairs, "lead", "item").select("lead", "item", F.size("tb").alias("size"), F.slice(ranked, F.lit(1), links.room(F.size("tb"), 0.8)).alias("tokens"))
+
+    monkeypatch.setattr(links, "_common", lambda held: [])
+    got = {x.node: x.component for x in links.classes(spark.createDataFrame(spots, "item long, bands array<long>"), verify, 0.2 + 1e-12, lambda wanted: held.join(wanted, "item"), firsts).collect()}
+    assert set(got) == set(range(30)) and len(set(got.values())) == 1
+    assert len(split) >= 30 and len(split) == len(set(split))
+
+
 def test_marks_leave_out_far_pairs_only(spark):
     """Of pairs in one bucket only those that the marks let be near are made, and none that is near is left out. The
     marks of both operators say so."""
