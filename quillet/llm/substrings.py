@@ -7,7 +7,8 @@ Around each of those, every string that holds the anchor lies in a short context
 the strings' prefix polynomial hashes are compared in sorted order, with the bytes verified where they are equal.
 
 Groups of anchors are dealt by hash into as many buckets as the bytes need, so tasks stay of one size; a passage that
-many documents share spreads over its anchors. A null text is empty. Rows that repeat a doc_id are one document and
+many documents share spreads over its anchors. Where a text repeats itself in short periods, all its anchors are one:
+neighbours with the same context are a run, which is compared once. Equal contexts are compared once, too. A null text is empty. Rows that repeat a doc_id are one document and
 don't count against each other, but each of its texts, told apart by a part, loses what is found in it alone; a null
 doc_id comes before all others.
 """
@@ -24,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import mixed, parted, pick, powers, slices, texts
+from quillet.llm.common import kinds, mixed, parted, pick, powers, slices, texts
 from quillet.session import cut, discard
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM  # how far a string that holds an anchor can start before it
 CONTEXT = REACH + LENGTH
 _B = 0x5851F42D4C957F2D
+_VALUE = mixed(np.arange(1, 257, dtype=np.uint64))  # of each byte, in polynomials
 BUCKET_BYTES = 4 << 20
 _FIRST = -(1 << 63)  # a null doc_id in comparisons
 
@@ -66,28 +68,43 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def joined(text: bytes, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First positions, hashes and last positions of runs of anchors: neighbours of one hash with the same bytes around.
+
+    Neighbours are less than a string's length apart, so the spans of a run's members are one, and what holds for the
+    first holds for all."""
+    near = np.flatnonzero((h[1:] == h[:-1]) & (at[:-1] >= REACH) & (at[1:] + LENGTH <= len(text)))
+    if not len(near):
+        return at, h, at
+    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), CONTEXT)
+    first = np.ones(len(at), bool)
+    for k in range(0, len(near), 4096):
+        i = near[k : k + 4096]
+        first[i + 1] = (view[at[i] - REACH] != view[at[i + 1] - REACH]).any(axis=1)
+    return at[first], h[first], at[np.append(np.flatnonzero(first)[1:], len(at)) - 1]
+
+
 def _buckets(total: int, spark) -> int:  # noqa: ANN001
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1)
 
 
-def _pack(docs: np.ndarray, parts: np.ndarray, grams: np.ndarray, at: np.ndarray) -> bytes:
+def _pack(docs: np.ndarray, parts: np.ndarray, grams: np.ndarray, at: np.ndarray, more: np.ndarray) -> bytes:
     """Occurrences in few bytes: they are sorted by document, so what repeats or grows slowly deflates well."""
     new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (parts[1:] != parts[:-1])])
     known, own, index = docs[new], parts[new], np.cumsum(new) - 1
-    planes = at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    steps = np.diff(index, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    rest = zlib.compress(np.diff(known, prepend=0).astype("<i8").tobytes() + own.astype("<i8").tobytes() + steps + planes, 1)
+    planes = lambda x: x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    rest = zlib.compress(np.diff(known, prepend=0).astype("<i8").tobytes() + own.astype("<i8").tobytes() + planes(np.diff(index, prepend=0)) + planes(at) + planes(more), 1)
     return np.array([len(known), len(at)], "<u4").tobytes() + grams.astype("<u4").tobytes() + rest
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
     n_docs, n = np.frombuffer(raw, "<u4", 2).tolist()
     grams = np.frombuffer(raw, "<u4", n, 8)
     rest = zlib.decompress(raw[8 + 4 * n :])
     known, own = np.cumsum(np.frombuffer(rest, "<i8", n_docs)), np.frombuffer(rest, "<i8", n_docs, 8 * n_docs)
     whole = lambda k: np.frombuffer(rest, np.uint8, 4 * n, 16 * n_docs + 4 * n * k).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
     index = np.cumsum(whole(0))
-    return known[index], own[index], grams, whole(1)
+    return known[index], own[index], grams, whole(1), whole(2)
 
 
 def _deflated(docs: DataFrame) -> DataFrame:
@@ -108,32 +125,32 @@ def covered(docs: DataFrame, copies: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [(doc, *anchors(text), part) for doc, part, text in sorted(zip(b.column("doc").to_pylist(), b.column("part").to_pylist(), texts(b), strict=True))]
+            found = [(doc, *joined(text, *anchors(text)), part) for doc, part, text in sorted(zip(b.column("doc").to_pylist(), b.column("part").to_pylist(), texts(b), strict=True))]
             found = [f for f in found if len(f[1])]
             if not found:
                 continue
             of = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
-            part = np.repeat(np.array([f[3] for f in found], np.int64), [len(f[1]) for f in found])
-            at, h = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+            part = np.repeat(np.array([f[4] for f in found], np.int64), [len(f[1]) for f in found])
+            at, h, last = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3))
             bucket = (h % np.uint64(n)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            bucket, of, part, at, h = bucket[order], of[order], part[order], at[order], (h >> np.uint64(32))[order]
+            bucket, of, part, at, h, more = bucket[order], of[order], part[order], at[order], (h >> np.uint64(32))[order], (last - at)[order]
             edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
-            packed = [_pack(of[i:j], part[i:j], h[i:j], at[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+            packed = [_pack(of[i:j], part[i:j], h[i:j], at[i:j], more[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
     def several(f: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(x) for x in f["packed"]]
-        d, part, a, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        d, part, a, at, more = (np.concatenate([p[i] for p in parts]) for i in range(5))
         order = np.lexsort((d, a))
-        d, part, a, at = d[order], part[order], a[order], at[order]
+        d, part, a, at, more = d[order], part[order], a[order], at[order], more[order]
         first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         size = np.diff(np.append(first, len(a)))
         keep = np.repeat(d[first] != d[first + size - 1], size)
-        return pd.DataFrame({"bucket": f["bucket"].iloc[0], "anchor": a[keep].astype(np.int64), "doc": d[keep], "part": part[keep], "pos": at[keep]})
+        return pd.DataFrame({"bucket": f["bucket"].iloc[0], "anchor": a[keep].astype(np.int64), "doc": d[keep], "part": part[keep], "pos": at[keep], "more": more[keep]})
 
-    spots = cut(docs.select("doc", "part", "text").mapInArrow(find, "bucket long, packed binary").groupBy("bucket").applyInPandas(several, "bucket long, anchor long, doc long, part long, pos long"))
-    places = spots.groupBy("doc", "part").agg(F.collect_list(F.struct("bucket", "anchor", "pos")).alias("places")).join(copies, ["doc", "part"], "left_anti")
+    spots = cut(docs.select("doc", "part", "text").mapInArrow(find, "bucket long, packed binary").groupBy("bucket").applyInPandas(several, "bucket long, anchor long, doc long, part long, pos long, more long"))
+    places = spots.groupBy("doc", "part").agg(F.collect_list(F.struct("bucket", "anchor", "pos", "more")).alias("places")).join(copies, ["doc", "part"], "left_anti")
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "deflated"):
@@ -144,7 +161,7 @@ def covered(docs: DataFrame, copies: DataFrame) -> DataFrame:
             sizes = [len(p) for *_, p in held]
             bucket, pos = get("bucket"), get("pos")
             length = np.repeat([len(text) for *_, text, _ in held], sizes)
-            numbers = np.stack([get("anchor"), np.repeat(np.array([doc for doc, *_ in held], np.int64), sizes), np.repeat(np.array([part for _, part, *_ in held], np.int64), sizes), pos, np.minimum(pos, REACH), np.minimum(length - pos, LENGTH)]).astype("<i8")
+            numbers = np.stack([get("anchor"), np.repeat(np.array([doc for doc, *_ in held], np.int64), sizes), np.repeat(np.array([part for _, part, *_ in held], np.int64), sizes), pos, get("more"), np.minimum(pos, REACH), np.minimum(length - pos, LENGTH)]).astype("<i8")
             views = []
             for *_, text, p in held:
                 padded = np.frombuffer(b"\0" * REACH + text + b"\0" * LENGTH, np.uint8)
@@ -162,34 +179,61 @@ def covered(docs: DataFrame, copies: DataFrame) -> DataFrame:
     return out
 
 
+def _contexts(keys: np.ndarray, bytes_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different context, and for every place the index into those. keys: numbers that count as well."""
+    wide = np.zeros((len(bytes_), -(-CONTEXT // 8) * 8), np.uint8)
+    wide[:, :CONTEXT] = bytes_
+    wide = wide.view("<u8")
+    h = np.zeros(len(wide), np.uint64)
+    for k in (*wide.T, *keys.view(np.uint64)):
+        h = mixed(h * np.uint64(_B) ^ k)
+    place, rank = kinds(h)
+    lead = place[rank]
+    alien = (wide != wide[lead]).any(axis=1) | (keys != keys[:, lead]).any(axis=0)  # of another context by chance
+    return np.append(place, np.flatnonzero(alien)), np.where(alien, len(place) + np.cumsum(alien) - 1, rank)
+
+
 def earlier(f: pd.DataFrame) -> pd.DataFrame:
-    """For each occurrence of a shared anchor, the span of its strings that an earlier document holds too."""
+    """For each run of a shared anchor, the span of its strings that an earlier document holds too."""
     raw = [zlib.decompress(x) for x in f["packed"]]
-    each = [len(x) // (48 + CONTEXT) for x in raw]
-    anchor, doc, part, pos, before, after = np.concatenate([np.frombuffer(x, "<i8", 6 * n).reshape(6, n) for x, n in zip(raw, each, strict=True)], axis=1)
-    bytes_ = np.concatenate([np.frombuffer(x, np.uint8, -1, 48 * n).reshape(n, CONTEXT) for x, n in zip(raw, each, strict=True)])
-    anchor = np.ascontiguousarray(anchor).view(np.uint64)
-    n = len(doc)
-    values = mixed(bytes_.astype(np.uint64) + np.uint64(1)) * powers(_B, CONTEXT)[None, :]
-    sums = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(values, axis=1, dtype=np.uint64)], axis=1)
-    back = powers(pow(_B, -1, 1 << 64), CONTEXT)
-    start, end = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    each = [len(x) // (56 + CONTEXT) for x in raw]
+    anchor, doc, part, pos, more, before, after = np.concatenate([np.frombuffer(x, "<i8", 7 * n).reshape(7, n) for x, n in zip(raw, each, strict=True)], axis=1)
+    bytes_ = np.concatenate([np.frombuffer(x, np.uint8, -1, 56 * n).reshape(n, CONTEXT) for x, n in zip(raw, each, strict=True)])
+    del raw
+    place, of = _contexts(np.stack([anchor, before, after]), bytes_)
+    low = np.full(len(place), np.iinfo(np.int64).max)
+    np.minimum.at(low, of, doc)
+    order = np.argsort(low, kind="stable")  # of equal strings, the first context has the first document
+    rank = np.empty(len(place), np.int64)
+    rank[order] = np.arange(len(place))
+    place, low, of = place[order], low[order], rank[of]
+    anchor, before, after, bytes_ = anchor[place].view(np.uint64), before[place], after[place], bytes_[place]
+    across = np.ascontiguousarray(bytes_.T)
+    power, back = powers(_B, CONTEXT), powers(pow(_B, -1, 1 << 64), CONTEXT)
+    term = lambda k: _VALUE[across[k]] * power[k]
+    total = np.zeros(len(place), np.uint64)
+    for k in range(REACH, REACH + LENGTH):
+        total += term(k)
+    start, end = np.full(len(doc), -1, np.int64), np.full(len(doc), -1, np.int64)
     for a in range(REACH + 1):  # strings that start ``a`` bytes before the anchor
         at = REACH - a
-        real = np.flatnonzero((before >= a) & (after >= LENGTH - a))
-        if len(real) < 2:
+        if a:
+            total += term(at) - term(at + LENGTH)
+        who = np.flatnonzero((before >= a) & (after >= LENGTH - a))
+        if not len(who):
             continue
-        h = mixed((sums[real, at + LENGTH] - sums[real, at]) * back[at] ^ anchor[real])
-        order = np.lexsort((doc[real], h))
-        hs, who = h[order], real[order]
-        new = np.concatenate([[True], hs[1:] != hs[:-1]])
-        lead = who[new][np.cumsum(new) - 1]  # the string's first document
-        hit = doc[lead] < doc[who]
-        who, lead = who[hit], lead[hit]
-        same = (bytes_[who, at : at + LENGTH] == bytes_[lead, at : at + LENGTH]).all(axis=1)
-        who = who[same]
-        end[who] = np.where(end[who] < 0, pos[who] - a + LENGTH, end[who])
-        start[who] = pos[who] - a
+        new, own = kinds(mixed(total[who] * back[at] ^ anchor[who]))
+        lead = who[new[own]]
+        other = np.flatnonzero(lead != who)
+        same = lead == who
+        for k in range(0, len(other), 4096):
+            i = other[k : k + 4096]
+            same[i] = (bytes_[who[i], at : at + LENGTH] == bytes_[lead[i], at : at + LENGTH]).all(axis=1)
+        first = np.full(len(place), np.iinfo(np.int64).max)  # document of each context's string
+        first[who[same]] = low[lead[same]]
+        hit = np.flatnonzero(first[of] < doc)
+        end[hit] = np.where(end[hit] < 0, pos[hit] + more[hit] - a + LENGTH, end[hit])
+        start[hit] = pos[hit] - a
     got = end >= 0
     return pd.DataFrame({"doc": doc[got], "part": part[got], "start": start[got], "end": end[got]})
 

@@ -1,7 +1,10 @@
 import hashlib
 import random
+import tracemalloc
+import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quillet.llm import substrings
@@ -64,6 +67,43 @@ def test_different_texts_under_one_id(spark):
     assert got(substrings.dedup(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], data.DOCS))) == brute(rows)
 
 
+def test_short_periods(spark):
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdef") for _ in range(n))
+    pairs = [word(n) for n in (1, 2, 7, 16, 17, 29, 34, 35, 36, 60)]
+    rows = [(i, word(r.randint(0, 90)) + r.choice(pairs) * r.randint(1, 40) + word(r.randint(0, 90)) + r.choice(pairs) * r.randint(1, 12)) for i in range(80)]
+    rows += [(200, pairs[2] * 30), (201, pairs[2] * 30 + "x"), (202, pairs[2][3:] + pairs[2] * 20)]
+    assert got(substrings.dedup(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], data.DOCS))) == brute(rows)
+
+
+def test_repeated_pair_is_one_occurrence():
+    """A word pair written thousands of times gave its one anchor, and so one task, that many contexts."""
+    text = b"start " * 3 + b"copper lantern " * 5000 + b"the end of it all, and no more of it than this line here says"
+    at, h = substrings.anchors(text)
+    first, _, last = substrings.joined(text, at, h)
+    assert len(at) > 4500
+    assert len(first) < 30
+    assert set(first.tolist()) | set(last.tolist()) <= set(at.tolist())
+    assert (last - first).max() > 70000
+
+
+def test_memory_of_contexts():
+    """A group of occurrences takes some hundred bytes for each, where matrices of hashes took thousands."""
+    n = 20000
+    numbers = np.stack([np.full(n, 5), np.arange(n), np.zeros(n), np.full(n, 100), np.zeros(n), np.full(n, substrings.REACH), np.full(n, substrings.LENGTH)]).astype("<i8")
+    contexts = np.random.default_rng(1).integers(0, 256, (n, substrings.CONTEXT), dtype=np.uint8)
+    contexts[n // 2 :] = contexts[: n // 2]
+    f = pd.DataFrame({"bucket": [0], "packed": [zlib.compress(numbers.tobytes() + contexts.tobytes(), 1)]})
+    tracemalloc.start()
+    out = substrings.earlier(f)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["doc"].tolist() == list(range(n // 2, n))
+    assert set(out["start"]) == {100 - substrings.REACH}
+    assert set(out["end"]) == {150}
+    assert peak < 1200 * n
+
+
 def test_empty(spark):
     assert substrings.dedup(data.empty(spark)).count() == 0
 
