@@ -167,6 +167,26 @@ def test_classes_of_pairs_that_share_one_large_bucket(spark, monkeypatch, many):
     assert len(want) > 5 and set(map(frozenset, got.values())) == want
 
 
+@pytest.mark.parametrize("large", [64, 3])
+def test_buckets_are_led_in_one_pass(spark, monkeypatch, large):
+    """Large buckets, known by a sample, are led by a join; all others are neither counted first nor found again."""
+    monkeypatch.setattr(links, "SAMPLE", 1)
+    monkeypatch.setattr(links, "LARGE", large)
+    r = random.Random(11)
+    rows = [(i, b) for i in range(300) for b in {r.randrange(200), 1000 + i, *([7000] if i % 3 else []), *([8000] if i > 290 else [])}]
+    buckets = {}
+    for i, b in rows:
+        buckets.setdefault(b, []).append(i)
+    out = links._first_led(spark.createDataFrame(rows, "item long, bucket long"))
+    assert sorted((x.bucket, x.item, x.lead, x.apart, x.pos, x.size) for x in out.collect()) == sorted((b, i, min(own), i != min(own), None, None) for b, own in buckets.items() if len(own) > 1 for i in own)
+    ran = []
+    monkeypatch.setattr(links, "cut", lambda df: ran.append(df) or df)
+    few = spark.createDataFrame(rows, "item long, bucket long").where("bucket < 200 and item < 100")
+    monkeypatch.setattr(links, "LARGE", 64)
+    plan = links._first_led(few)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and len(ran) == 2
+
+
 def test_members_of_several_large_buckets_are_split_once(spark, monkeypatch):
     """Buckets of one component have leaders of their own, but one order of tokens, so no member's tokens are taken twice."""
     monkeypatch.setattr(links, "MANY", 0)
