@@ -238,6 +238,25 @@ def test_marks_leave_out_far_pairs_only(spark):
             assert near <= got and len(got - close) < 20
 
 
+def test_marks_tell_large_sets_apart(spark):
+    """Sets of 2000 tokens of which 1200 differ: with 512 places half of them differ at most, fewer than may."""
+    rows = [(i, t) for i in (0, 1) for t in [*range(800), *range(10_000 * (i + 1), 10_000 * (i + 1) + 1200)]] + [(2, t) for t in [*range(800), *range(10_000, 11_190)]]
+    marks = spark.createDataFrame(rows, "item long, t long").select("item", F.xxhash64("t").alias("token")).groupBy("item").agg(*links.mark())
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    assert [(x.a, x.b) for x in links._unmarked(pairs, marks, 0.2 + 1e-12).collect()] == [(0, 2)]
+
+
+def test_a_compared_leader_keeps_no_bucket_open(spark):
+    """Buckets of two, and those whose members beside the leader are in one component, are done."""
+    buckets = {1: [0, 5], 2: [0, 6, 7], 3: [0, 5, 6]}
+    held = spark.createDataFrame([(b, i, 0, None, None, i > 0) for b, own in buckets.items() for i in own], "bucket long, item long, lead long, pos int, size int, apart boolean")
+    seen = spark.createDataFrame([(0, 5, 0.9), (0, 6, 0.5)], "a long, b long, d double")
+    found = spark.createDataFrame([(6, 6), (7, 6)], "node long, component long")
+    for bounded in (False, True):
+        got = links._open(held, seen, found, 0.2, bounded).collect()
+        assert sorted((x.bucket, x.item, x.d) for x in got) == [(3, 5, 0.9), (3, 6, 0.5)]
+
+
 def test_first_tokens():
     """Near multisets share one of the first tokens."""
     r = random.Random(4)
